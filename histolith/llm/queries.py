@@ -118,6 +118,55 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_groups(edges).select(F.col("id").alias("sha"), F.col("grp").alias("group_sha"))
 
 
+# 7 ----------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, d: str, candidates: bool) -> DataFrame:
+    """(repo, path, seen, flags): paths of changes, what diff lines say of them, and paths of candidates."""
+    from histolith.llm.authored import FLAGS, line_flags
+
+    no = {f: F.lit(False) for f in FLAGS}
+    pick = lambda df, seen, flags: df.select("sha", X.clean_path(F.col("path")).alias("path"), F.lit(seen).alias("seen"), *[c.alias(k) for k, c in flags.items()])
+    lines = table(spark, d, "diff_lines").where("path IS NOT NULL AND content IS NOT NULL")
+    said = pick(lines, False, line_flags(F.col("content"))).where(" OR ".join(FLAGS))
+    rows = pick(table(spark, d, "changes").where("path IS NOT NULL"), True, no).unionByName(said)
+    repos = table(spark, d, "commits").where("sha IS NOT NULL").groupBy("sha").agg(F.min("repo").alias("repo"))
+    rows = rows.join(repos, "sha").drop("sha")
+    if candidates:
+        c = table(spark, d, "candidates").select("repo", F.explode(X.clean_paths(F.col("files"))).alias("path")).distinct()
+        rows = rows.unionByName(c.select("repo", "path", F.lit(True).alias("seen"), *[v.alias(k) for k, v in no.items()]))
+    rows = rows.groupBy("repo", "path").agg(*[F.max(x).alias(x) for x in ("seen", *FLAGS)])
+    return rows.where("seen")
+
+
+def p7_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every path of changes and of candidates with its label."""
+    from histolith.llm.authored import label_files
+
+    return label_files(_files(spark, d, candidates=True))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from histolith.llm.authored import label_files
+
+    return label_files(_files(spark, d, candidates=False)).where("label <> 'hand'").select("repo", "path")
+
+
+# 8 ----------------------------------------------------------------------------------------------------
+
+
+def p8_carried(spark: SparkSession, d: str) -> DataFrame:
+    from histolith.llm.leakage import leaked
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), "text")
+    return leaked(docs, items).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "carried")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_carried(spark, d).select("doc_id", "item_id")
+
+
 # 9 ----------------------------------------------------------------------------------------------------
 
 
@@ -149,5 +198,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shares(spark, d).where("short").select("source")
 
 
+# 10 ---------------------------------------------------------------------------------------------------
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text")
+
+
+def p10_outliers(spark: SparkSession, d: str) -> DataFrame:
+    from histolith.llm.repetition import measured, outliers
+
+    return outliers(measured(_texts(spark, d))).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from histolith.llm.repetition import self_repeating
+
+    return self_repeating(_texts(spark, d)).select(F.col("id").alias("doc_id"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}

@@ -65,4 +65,11 @@ SELECT s AS sha, min(t) AS group_sha FROM r GROUP BY s""",
 WITH d AS (SELECT replace(lower(trim(source)), '-', '_') AS source, length(coalesce(text, '')) AS n FROM documents),
 s AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
 SELECT t.source FROM mix_targets t LEFT JOIN s USING (source) WHERE coalesce(s.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM d)""",
+        "p10_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 3)) AS p, w FROM d WHERE len(w) >= 5),
+k AS (SELECT doc_id, n, p, array_to_string(w[p:p + 4], ' ') AS run FROM g),
+r AS (SELECT doc_id, n, p, row_number() OVER (PARTITION BY doc_id, run ORDER BY p) AS nth FROM k),
+m AS (SELECT doc_id, any_value(n) AS n, count(DISTINCT p + o) AS hit FROM (SELECT doc_id, n, p, unnest(range(0, 5)) AS o FROM r WHERE nth > 1) GROUP BY doc_id)
+SELECT doc_id FROM m WHERE hit >= 0.35 * n""",
     }
