@@ -1,4 +1,4 @@
-"""Registered queries of the core."""
+"""Registered queries of the core, each over the whole tables of a data folder."""
 
 from __future__ import annotations
 
@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from histolith.functions import text as X
+from histolith.model import Config
+from histolith.operators import affinity, chunks as C, citations, classify as S, imports as I, keys as K, summaries, votes, workarounds
+from histolith.operators.components import components
+from histolith.operators.coupling import coupling
+from histolith.operators.merges import merge_ranges
+from histolith.operators.numbering import numbered
 from histolith.operators.skewed_keys import first_last_per_key
-from histolith.session import table
+from histolith.plans import pipeline
+from histolith.session import table, written
+from histolith.sources.tables import read_history
 
 Query = Callable[[SparkSession, str], DataFrame]
+joined = lambda c: F.array_join(c, "|").alias(c)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,15 +32,287 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("path"), F.col("first_id").alias("first_sha"), F.col("last_id").alias("last_sha"))
 
 
-def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+# keys -------------------------------------------------------------------------------------------------
+
+
+def topic_tokens(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    return K.topic_tokens(h.plain, h.changes).select("sha", "key")
+
+
+def top_dirs(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    return h.changes.select("sha", X.top_dir(F.col("path")).alias("top_dir")).distinct()
+
+
+def dirs_deep(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    return h.changes.select("sha", F.explode(X.dirs_deep(F.col("path"), Config().first_depth)).alias("dir")).distinct()
+
+
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    return K.document_frequency(K.change_keys(h.plain, h.changes))
+
+
+def auto_caps(spark: SparkSession, d: str) -> DataFrame:
+    return K.caps(read_history(spark, d).plain)
+
+
+def specific_keys(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    keys = K.change_keys(h.plain, h.changes)
+    return K.specific(keys, K.document_frequency(keys), K.caps(h.plain)).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
+# coupling, pairs, components --------------------------------------------------------------------------
+
+
+def _coupling(spark: SparkSession, d: str, cap: int, score: float) -> DataFrame:
+    h = read_history(spark, d)
+    return coupling(h.changes.join(h.plain.select("sha"), "sha", "left_semi"), cap, min_score=score).withColumn("score", F.round("score", 9))
+
+
+def coupling_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _coupling(spark, d, 30, 0.30)
+
+
+def coupling_changeset_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Small changesets only, any score: the denominator still counts every changeset."""
+    return _coupling(spark, d, 4, 0.0)
+
+
+def coupling_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """The same operator on orders as changesets and suppliers as paths."""
+    rows = table(spark, d, "lineitem").select(F.lit("orders").alias("repo"), F.col("l_orderkey").cast("string").alias("sha"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0").alias("path"))
+    return coupling(rows, 6, min_score=0.0).withColumn("score", F.round("score", 9))
+
+
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys of each kind related commits share."""
+    h = read_history(spark, d)
+    keys = K.change_keys(h.plain, h.changes)
+    few = K.specific(keys, K.document_frequency(keys), K.caps(h.plain)).withColumnRenamed("sha", "ent")
+    n = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    pairs = affinity.shared_keys(few).groupBy("repo", "i", "j").agg(n("file"), n("dir"), n("token"))
+    return pairs.groupBy("repo").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(k).alias(k) for k in K.KINDS])
+
+
+def _related(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    edges = coupling(h.changes.join(h.plain.select("sha"), "sha", "left_semi"))
+    return pipeline.related_commits(h, edges=edges)[0]
+
+
+def pairs_two_of_four(spark: SparkSession, d: str) -> DataFrame:
+    return _related(spark, d).select("repo", "i", "j", F.array_join("reasons", "|").alias("reasons"))
+
+
+def affinity_components(spark: SparkSession, d: str) -> DataFrame:
+    return components(_related(spark, d))
+
+
+# chunks -----------------------------------------------------------------------------------------------
+
+
+def strategy_detect(spark: SparkSession, d: str) -> DataFrame:
+    return C.detect_strategy(read_history(spark, d).commits)
+
+
+def merge_range_commits(spark: SparkSession, d: str) -> DataFrame:
+    return merge_ranges(read_history(spark, d).commits)
+
+
+def first_merge_wins(spark: SparkSession, d: str) -> DataFrame:
+    return C.first_merge_wins(merge_ranges(read_history(spark, d).commits)).select("repo", "sha", "merge_sha")
+
+
+def leftover_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Commits that no candidate names."""
+    h = read_history(spark, d)
+    return C.leftover(h.plain, _members(spark, d).select("sha").distinct()).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+
+
+def squash_chunks(spark: SparkSession, d: str) -> DataFrame:
+    members, spans = C.squash_chunks(read_history(spark, d).plain)
+    return members.join(spans, ["repo", "chunk"])
+
+
+def log_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Row numbers of commits per repository by date, without a task that holds a whole repository."""
+    return numbered(read_history(spark, d).commits.select("repo", "date", "sha"), ["repo"], ["date", "sha"], "n").select("repo", "sha", "n")
+
+
+# candidates -------------------------------------------------------------------------------------------
+
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, cluster, pos, sha): commits named by candidates, in their order."""
+    c = table(spark, d, "candidates").where("cand_id IS NOT NULL").select("repo", F.col("cand_id").alias("cluster"), F.posexplode("commits").alias("at", "u")).where("u IS NOT NULL")
+    c = c.withColumn("u", F.lower(F.trim("u"))).where("length(u) >= 8").withColumn("head", F.substring("u", 1, 8))
+    shas = table(spark, d, "commits").where("sha IS NOT NULL").select("sha").distinct().withColumn("head", F.substring("sha", 1, 8))
+    hit = c.join(shas, "head").where(F.startswith("sha", "u"))
+    return hit.groupBy("repo", "cluster", "sha").agg(F.min("at").alias("pos"))
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p6_found": r"""
-WITH m AS (SELECT sha, max(author_date) AS d FROM commits GROUP BY sha),
-x AS (SELECT DISTINCT regexp_replace(regexp_replace(replace(trim(path, ' '), '\', '/'), '/+', '/', 'g'), '^\./', '') AS path, c.sha, d FROM changes c JOIN m ON m.sha = c.sha)
-SELECT path, arg_min(sha, (d, sha)) FILTER (WHERE d IS NOT NULL) AS first_sha, arg_max(sha, (d, sha)) FILTER (WHERE d IS NOT NULL) AS last_sha FROM x GROUP BY path
-HAVING count(*) >= 5 AND count(*) * 100 >= (SELECT count(DISTINCT sha) FROM x)"""
-    }
+
+def diff_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = summaries.diff_summary(_members(spark, d), read_history(spark, d).changes)
+    return s.select("cluster", "summary", joined("added"), joined("deleted"), "modified_count", joined("modified_top"))
+
+
+def cluster_rollup(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    r = summaries.roll_up(_members(spark, d), h.plain, h.changes, K.topic_tokens(h.plain, h.changes))
+    return r.select("cluster", *[joined(c) for c in ("commits", "subjects", "files", "top_dirs", "topic_tokens")])
+
+
+def classify_candidates(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d, lines=True)
+    s = S.classify(_members(spark, d), h.commits, h.changes, Config(), S.pure_commits(h.changes, h.diff_lines))
+    return s.select("cluster", "score", "classification", joined("signals"))
+
+
+def version_bump(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the changed lines of a manifest only state versions; lines of other files are no versions either."""
+    h = read_history(spark, d, lines=True)
+    return S.version_bumps(h.diff_lines.withColumnRenamed("sha", "unit")).withColumnRenamed("unit", "sha")
+
+
+def workaround_scan(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d, lines=True)
+    w = workarounds.scan_workarounds(_members(spark, d), h.plain, h.changes, h.diff_lines)
+    return w.select("cluster", "record_type", F.size("workaround_signals").cast("long").alias("signals"))
+
+
+def record_routing(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d, lines=True)
+    m = _members(spark, d)
+    w = workarounds.scan_workarounds(m, h.plain, h.changes, h.diff_lines)
+    s = S.classify(m, h.commits, h.changes, Config(), S.pure_commits(h.changes, h.diff_lines))
+    return workarounds.route(w, s).groupBy("record_type", "classification").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("workaround_signals")).alias("signals"))
+
+
+def precision_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Classification computed here against the one that candidates state."""
+    said = table(spark, d, "candidates").groupBy(F.col("cand_id").alias("cluster")).agg(F.max("classification").alias("said"))
+    x = classify_candidates(spark, d).join(said, "cluster")
+    p = votes.precision_recall(x.select((F.col("classification") == "architectural").alias("predicted"), (F.col("said") == "architectural").alias("actual")))
+    return p.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def analyze_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline over all repositories: clusters of related commits, scored and routed."""
+    a = pipeline.analyze(read_history(spark, d, lines=True))
+    return a.select("repo", "id", "strategy", F.size("commits").alias("n"), joined("commits"), "score", "classification", "record_type", joined("merge_reasons"))
+
+
+def split_oversized(spark: SparkSession, d: str) -> DataFrame:
+    """The same with oversized clusters split by overlap density."""
+    a = pipeline.analyze(read_history(spark, d), Config(split_oversized=True), "direct-commit")
+    return a.groupBy("repo").agg(F.count(F.lit(1)).alias("candidates"), F.max(F.size("commits")).alias("largest"), F.sum(F.size("commits")).alias("commits"))
+
+
+# records ----------------------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
+    """A record for every commit with changes: each change is cited as a deletion, and as what it was."""
+    h = read_history(spark, d, lines=True)
+    word = F.create_map(*[F.lit(x) for x in ("D", "deleted", "A", "added", "R", "renamed")])[F.substring("status", 1, 1)]
+    cite = lambda kind: F.concat(F.lit("- **"), "path", F.lit("** <!-- evidence: "), F.substring("sha", 1, 12), F.lit(" "), kind, F.lit(":"), "path", F.lit(" -->"))
+    lines = F.concat_ws("\n", cite(F.lit("deleted")), F.when(word.isNotNull(), cite(word)), F.concat(F.lit("- *"), "path", F.lit("*")))
+    body = h.changes.select("sha", "path", lines.alias("l")).groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("path", "l"))).alias("x"))
+    text = F.concat(F.lit("---\ntype: madr\n---\n# Choice\n\n## Considered Options\n\n"), F.array_join("x.l", "\n"), F.lit("\n\n## Links\n- Commits: "), F.substring("sha", 1, 10), F.lit("\n"))
+    return body.select(F.col("sha").alias("path"), text.alias("text")), h
+
+
+def _verified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r, h = _records(spark, d)
+    r = written(r, "records")
+    return r, citations.verify(citations.citations(r), h.commits, h.changes, h.diff_lines)
+
+
+def citation_verify(spark: SparkSession, d: str) -> DataFrame:
+    return _verified(spark, d)[1].groupBy("path", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def verify_rollup(spark: SparkSession, d: str) -> DataFrame:
+    r, v = _verified(spark, d)
+    return citations.verdicts(r, v).select("path", "kept", "dropped", "overall")
+
+
+def sha_prefix_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of candidates that name a commit under the rule of seven digits or more."""
+    c = table(spark, d, "candidates").select("cand_id", F.explode("commits").alias("u")).where("length(trim(u)) >= 7").select("cand_id", F.trim("u").alias("u")).distinct()
+    shas = table(spark, d, "commits").select("sha").distinct()
+    seven = lambda x: F.substring(F.lower(x), 1, 7).alias("p")
+    hit = c.select("*", seven("u")).join(shas.select("sha", seven("sha")), "p").where(X.sha_match(F.col("u"), F.col("sha")))
+    return hit.groupBy("cand_id").agg(F.count_distinct("sha").alias("n"))
+
+
+def record_types(spark: SparkSession, d: str) -> DataFrame:
+    """Record type and status of all documents, from their front matter."""
+    t = F.col("text")
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.groupBy(citations.record_type(t).alias("record_type"), citations.record_status(t).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def workaround_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Records that cite the first added line of each commit, against what is left when removed lines are gone."""
+    h = read_history(spark, d, lines=True)
+    clean = h.diff_lines.where("sign = '+' AND length(trim(content)) >= 12 AND NOT contains(content, '-->') AND NOT contains(content, '\"') AND NOT contains(content, \"'\")")
+    first = clean.groupBy("sha").agg(F.min_by(F.trim("content"), F.struct("path", "ord")).alias("mark"))
+    text = F.concat(F.lit("---\ntype: workaround\nstatus: active\n---\n## Evidence\n- it <!-- evidence: "), F.substring("sha", 1, 12), F.lit(' marker:"'), "mark", F.lit('" -->\n'))
+    records = first.where("length(mark) <= 60").select(F.col("sha").alias("path"), text.alias("text"))
+    gone = h.diff_lines.where("sign = '-'").select("content").distinct()
+    left = h.diff_lines.where("sign = '+'").join(gone, "content", "left_anti").select("path", F.col("content").alias("line"))
+    few = left.where("path LIKE 'src/%'")
+    return citations.lifecycle(records, few).select("path", "status", F.size("findings").cast("long").alias("findings"))
+
+
+def majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    """Most frequent event of each user; views abstain."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("run"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("overall"))
+    return votes.majority(e).withColumn("agreement", F.round("agreement", 9))
+
+
+def verdict_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """JSON recovered from event properties with prose around it."""
+    e = table(spark, d, "events").select(F.col("event_id"), F.concat(F.lit("So: "), F.coalesce("props", F.lit("none")), F.lit(" done.")).alias("raw"))
+    v = votes.parsed(F.col("raw"))
+    return e.groupBy(F.coalesce(v["overall"], F.lit("abstained")).alias("overall")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Imports between the scripts of a tree laid out from parts: each brand's index imports its parts and the next brand's index."""
+    p = table(spark, d, "part").select((F.col("p_partkey") % 97).alias("b"), F.col("p_partkey").alias("k"))
+    leaf = p.select(F.format_string("src/b%d/p%d.ts", "b", "k").alias("path"), F.concat(F.lit("import { x } from '../b"), ((F.col("b") + 1) % 97).cast("string"), F.lit("/p"), (F.col("k") + 1).cast("string"), F.lit("';\nconst fs = require('fs')\n")).alias("text"))
+    return I.import_edges(leaf)
+
+
+def next_record_number(spark: SparkSession, d: str) -> DataFrame:
+    n = F.regexp_extract(X.base_name(F.col("path")), r"^(\d{4})-.*\.md$", 1)
+    return read_history(spark, d).changes.groupBy("repo").agg((F.coalesce(F.max(F.when(n != "", n.cast("int"))), F.lit(0)) + 1).cast("long").alias("next"))
+
+
+def overflow_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each commit, the first eight and how many more."""
+    c = read_history(spark, d).changes.groupBy("sha").agg(F.collect_set("path").alias("files"))
+    return c.select("sha", F.array_join(summaries.capped(F.col("files"), 8), "|").alias("files"))
+
+
+def evidence_blocks(spark: SparkSession, d: str) -> DataFrame:
+    h = read_history(spark, d)
+    b = citations.evidence_blocks(h.plain.select("sha"), h.commits, h.changes, max_files=5)
+    return b.select("sha", F.size(F.split("block", "\n")).cast("long").alias("lines"), (F.instr("block", "more files") > 0).alias("cut"))
+
+
+def queries() -> dict[str, Query]:
+    own = (
+        p6_found, topic_tokens, top_dirs, dirs_deep, document_frequency, auto_caps, specific_keys, coupling_paths, coupling_changeset_cap, coupling_suppliers,
+        candidate_pairs, pairs_two_of_four, affinity_components, strategy_detect, merge_range_commits, first_merge_wins, leftover_anti, squash_chunks,
+        log_numbering, diff_summary, cluster_rollup, classify_candidates, version_bump, workaround_scan, record_routing, precision_recall,
+        analyze_candidates, split_oversized, citation_verify, verify_rollup, sha_prefix_scope, record_types, workaround_lifecycle, majority_vote,
+        verdict_recovery, import_edges, next_record_number, overflow_lists, evidence_blocks,
+    )
+    return {f.__name__: f for f in own}
