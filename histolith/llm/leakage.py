@@ -11,7 +11,9 @@ windows of that size:
    (step, word), so that few word edits become few differing symbols (Hamming distance).
 4. *Bit sampling*: under each of ``WALKS`` walks, ``SAMPLES`` samples of ``BITS`` positions are keys; windows that
    share a key are candidates. At the worst allowed density of edits a passage is met with probability ``recall()``.
-5. *Verification*: equal runs of a candidate are chained along the diagonal to stretches, whose word edit distance is exact.
+5. *Verification*: the exact edit distances of all candidate windows are computed together, and a window of more than ``NEAR`` edits is no
+   candidate. What is left is extended in both directions by a banded alignment, again all at once, and only where the extended
+   words reach ``LEAST - SLACK`` are equal runs chained to stretches, whose word edit distance is exact.
 
 Items are the query set: they are taken in blocks of ``ITEM_BLOCK`` and held by every task; documents are never shuffled.
 """
@@ -33,7 +35,14 @@ from histolith.session import written
 
 LEAST, DIFFER = 24, 8
 WINDOW = LEAST // 2
-WALKS, SAMPLES, BITS = 3, 4, 6
+WALKS, SAMPLES, BITS = 3, 4, 7
+#: Most edits between a window of a document and of an item that it carries: a passage has a window with two or less, and
+#: an insertion costs a window one more at its end.
+NEAR = 4
+#: Band and cost of an edit in the alignment that extends a window, and how far a score may fall behind its best.
+BAND, COST, FALL = 4, 3, 16
+#: Words by which the extended alignment may fall short of the exact count.
+SLACK = 4
 #: Words of a window that may be in no item.
 UNKNOWN = 3
 #: Items that a task holds at a time.
@@ -103,33 +112,35 @@ def _encode(vocabulary: dict[str, int]):
     return run
 
 
+def _heads(words: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of four words."""
+    u, m = words.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        return ((u[:-3] * m + u[1:-2]) * m + u[2:-1]) * m + u[3:]
+
+
 def _count_sentences(sentences: list[tuple[int, ...]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_head: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        by_head: dict[int, list[int]] = defaultdict(list)
         for n, s in enumerate(sentences):
-            by_head[s[:4]].append(n)
-        base = 1 + max((w for s in sentences for w in s), default=0)
-        heads = np.unique(np.array([((h[0] * base + h[1]) * base + h[2]) * base + h[3] for h in by_head], np.uint64)) if base < 65_000 else None
+            by_head[int(_heads(np.array(s[:4]))[0])].append(n)
+        heads = np.array(sorted(by_head), np.uint64)
         count: dict[int, int] = defaultdict(int)
         for batch in batches:
-            for x in batch.column("words"):
-                x = x.values.to_numpy()
-                if len(x) < 4:
-                    continue
-                if heads is not None:
-                    u = x.astype(np.uint64)
-                    b = np.uint64(base)
-                    at = np.flatnonzero(np.isin(((u[:-3] * b + u[1:-2]) * b + u[2:-1]) * b + u[3:], heads))
-                else:
-                    at = range(len(x) - 3)
-                seen = set()
-                for k in at:
-                    for n in by_head.get(tuple(x[k : k + 4].tolist()), ()):
-                        s = sentences[n]
-                        if n not in seen and len(x) - k >= len(s) and tuple(x[k : k + len(s)].tolist()) == s:
-                            seen.add(n)
-                for n in seen:
-                    count[n] += 1
+            words = pc.list_flatten(batch.column("words")).to_numpy()
+            ends = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False))
+            if len(words) < 4 or not len(heads):
+                continue
+            codes = _heads(words)
+            at = np.flatnonzero(np.isin(codes, heads))
+            seen: set[tuple[int, int]] = set()
+            for k, doc in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist()):
+                for n in by_head[int(codes[k])]:
+                    size = len(sentences[n])
+                    if (doc, n) not in seen and k + size <= ends[doc] and tuple(words[k : k + size].tolist()) == sentences[n]:
+                        seen.add((doc, n))
+            for _, n in seen:
+                count[n] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["sentence", "n"])
 
     return run
@@ -186,6 +197,58 @@ def recall(edits: int, seed: int = 0, trials: int = 400) -> float:
 # verification -----------------------------------------------------------------------------------------
 
 
+def window_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of two arrays of windows, all at once."""
+    n, w = a.shape
+    row = np.repeat(np.arange(w + 1, dtype=np.int8)[None, :], n, 0)
+    for i in range(w):
+        diagonal = row[:, 0].copy()
+        row[:, 0] = i + 1
+        for j in range(w):
+            cost = diagonal + (a[:, i] != b[:, j])
+            diagonal = row[:, j + 1].copy()
+            row[:, j + 1] = np.minimum(cost, np.minimum(diagonal, row[:, j]) + 1)
+    return row[:, w]
+
+
+def extensions(doc: np.ndarray, item: np.ndarray, d: np.ndarray, d_end: np.ndarray, i: np.ndarray, i_end: np.ndarray, step: int) -> np.ndarray:
+    """Item words by which the alignment from (d, i) on, in direction ``step`` up to the ends (exclusive), scores best.
+
+    A word that is equal scores 1, an edit costs ``COST``; alignments stay within ``BAND`` of the diagonal.
+    """
+    best_words = np.zeros(len(d), np.int64)
+    live = np.arange(len(d))
+    width = 2 * BAND + 1
+    score = np.full((len(d), width), -(1 << 12), np.int32)
+    score[:, BAND:] = -COST * np.arange(BAND + 1)  # words of the document that are skipped first
+    best = np.zeros(len(d), np.int32)
+    shift = np.arange(-BAND, BAND + 1) * step
+    t = 0
+    while len(live):
+        at = i[live] + t * step
+        inside = (at < i_end[live]) if step > 0 else (at > i_end[live])
+        if not inside.all():
+            live, score, best, at = live[inside], score[inside], best[inside], at[inside]
+            if not len(live):
+                break
+        where = (d[live] + t * step)[:, None] + shift
+        within = (where < d_end[live][:, None]) & (where >= 0) if step > 0 else (where > d_end[live][:, None]) & (where < len(doc))
+        equal = within & (doc[np.where(within, where, 0)] == item[at][:, None])
+        nxt = np.where(equal, score + 1, score - COST)
+        nxt[:, :-1] = np.maximum(nxt[:, :-1], score[:, 1:] - COST)  # a word of the item is missing
+        for b in range(1, width):  # a word of the document is extra
+            np.maximum(nxt[:, b], nxt[:, b - 1] - COST, out=nxt[:, b])
+        score, t = nxt, t + 1
+        top = score.max(1)
+        better = top > best
+        best = np.where(better, top, best)
+        best_words[live[better]] = t
+        keep = top > best - FALL
+        if not keep.all():
+            live, score, best = live[keep], score[keep], best[keep]
+    return best_words
+
+
 def edit_distance(a: list[int], b: list[int]) -> int:
     """Word edit distance, exact."""
     row = list(range(len(b) + 1))
@@ -268,10 +331,26 @@ def carried(found: list[tuple[int, int, int]]) -> int:
     return best
 
 
+def _reaching(spans: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Pairs of which the spans (pair, start, end) together hold enough words that count (``counts``: running number of them)."""
+    spans = np.unique(spans, axis=0)
+    pair, start, end = spans[:, 0], spans[:, 1], spans[:, 2]
+    if not len(pair):
+        return pair
+    # union of the spans of a pair: each adds what lies beyond the furthest end so far
+    offset = pair * (len(counts) + 1)
+    reached = np.maximum.accumulate(np.r_[-1, (offset + end)[:-1]]) - offset
+    lo = np.clip(reached, start, end)
+    firsts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    held = np.add.reduceat(counts[end] - counts[lo], firsts)
+    return pair[firsts][held >= LEAST - SLACK]
+
+
 def _search(items: Items, seed: int):
     bits, symbols, samples = _walks(len(items.vocabulary), seed)
     keys: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    offset = 0
     with np.errstate(over="ignore"):
         for i, ids in items.ids.items():
             starts = np.arange(max(0, len(ids) - WINDOW + 1))
@@ -279,16 +358,23 @@ def _search(items: Items, seed: int):
             starts = starts[live >= WINDOW // 2]
             for k in _keys(ids, starts, bits, symbols, samples):
                 keys.append(k)
-                owner.append(np.full(len(k), i))
+                places.append(starts + offset)
+            offset += len(ids)
+    names = np.array(list(items.ids), np.int64)
+    text = np.concatenate(list(items.ids.values())) if items.ids else np.zeros(0, np.int32)
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    who = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([key, who], 1), axis=0) if len(key) else np.zeros((0, 2), np.int64)
-    key, who = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    bounds = np.cumsum([len(x) for x in items.ids.values()])
+    firsts = bounds - np.array([len(x) for x in items.ids.values()])
+    counts = np.r_[0, np.cumsum(~np.concatenate(list(items.stock.values())))] if items.ids else np.zeros(1, int)
     filter_bits = 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.zeros(1 << filter_bits, bool)
         present[key & ((1 << filter_bits) - 1)] = True
+        reach = np.arange(WINDOW)
         for batch in batches:
             doc_ids = batch.column("id")
             lists = batch.column("words")
@@ -300,20 +386,30 @@ def _search(items: Items, seed: int):
             start = np.arange(max(0, len(words) - WINDOW + 1))
             doc = np.searchsorted(ends, start, side="right")
             start = start[(start + WINDOW <= ends[doc]) & (unknown[start + WINDOW] - unknown[start] <= UNKNOWN)] if len(start) else start
-            met: set[tuple[int, int]] = set()
+            met: list[np.ndarray] = []
             with np.errstate(over="ignore"):
                 for lo in range(0, len(start), CHUNK):
                     part = start[lo : lo + CHUNK]
+                    pairs = []
                     for k in _keys(words, part, bits, symbols, samples):
                         hit = np.flatnonzero(present[k & ((1 << filter_bits) - 1)])
-                        if not len(hit):
-                            continue
                         left, right = np.searchsorted(key, k[hit], "left"), np.searchsorted(key, k[hit], "right")
-                        for h, a, b in zip(hit[right > left], left[right > left], right[right > left]):
-                            d = int(np.searchsorted(ends, part[h], side="right"))
-                            met.update((d, int(w)) for w in who[a:b])
+                        many = right - left
+                        # entries left..right-1 of the key table for each hit
+                        entry = np.repeat(left - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                        pairs.append(part[np.repeat(hit, many)] * len(text) + place[entry])
+                    near = np.unique(np.concatenate(pairs))
+                    for at in range(0, len(near), CHUNK):
+                        d, i = np.divmod(near[at : at + CHUNK], len(text))
+                        good = window_distances(words[d[:, None] + reach], text[i[:, None] + reach]) <= NEAR
+                        d, i = d[good], i[good]
+                        x, y = np.searchsorted(ends, d, "right"), np.searchsorted(bounds, i, "right")
+                        right = extensions(words, text, d + WINDOW, ends[x], i + WINDOW, bounds[y], 1)
+                        left = extensions(words, text, d - 1, begins[x] - 1, i - 1, firsts[y] - 1, -1)
+                        met.append(np.unique(np.stack([x * len(names) + y, i - left, i + WINDOW + right], 1), axis=0))
+            both = _reaching(np.concatenate(met), counts) if met else np.zeros(0, np.int64)
             out_doc, out_item, out_n = [], [], []
-            for d, i in sorted(met):
+            for d, i in zip((both // len(names)).tolist(), names[both % len(names)].tolist() if len(both) else []):
                 n = carried(stretches(words[begins[d] : ends[d]], items.ids[i], items.stock[i]))
                 if n >= LEAST:
                     out_doc.append(d)
