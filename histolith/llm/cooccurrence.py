@@ -22,6 +22,7 @@ from histolith.session import new_folder
 
 #: Key columns of the three tables.
 KEYS = {"pairs": ["bucket", "a", "b"], "items": ["bucket", "grp", "item", "id"], "baskets": ["bucket", "grp"]}
+SCHEMAS = {"pairs": "a long, b long, n long, bucket int", "items": "grp string, item string, id long, n long, bucket int", "baskets": "grp string, n long, bucket int"}
 SEEDS = (42, 1009, 77_003)
 
 
@@ -85,7 +86,7 @@ class PairTable:
         parts = []
         for f in folders:
             own = [b for b, x in self.current[name].items() if x == f and (buckets is None or b in buckets)]
-            parts.append(self.spark.read.option("basePath", f).parquet(f).where(F.col("bucket").isin(own)))
+            parts.append(self.spark.read.schema(SCHEMAS[name]).option("basePath", f).parquet(f).where(F.col("bucket").isin(own)))
         return reduce(DataFrame.unionByName, parts)
 
     def merge(self, new: DataFrame | None, old: DataFrame | None = None) -> None:
