@@ -77,8 +77,9 @@ def _announce(sketch: np.ndarray, num: int, den: int):
                         for c in combinations(h[: n - o_probe + l], l):
                             sig.append(hash((l, *c)))
                             rows.append((l, cid, n, True))
-                    if n <= wide and l <= o_index:
-                        for c in combinations(h[: n - o_index + l], l):
+                    # a partner that picks l has l common members with this set, or is none
+                    if n <= wide and l <= n:
+                        for c in combinations(h[: n - max(o_index, l) + l], l):
                             sig.append(hash((l, *c)))
                             rows.append((l, cid, n, False))
             if rows:
