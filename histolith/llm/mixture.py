@@ -101,7 +101,8 @@ def fit_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None)
     ``extra`` of them once more.
 
     ``sized(id, source, tokens)``, ``targets(source, target_share, max_repeats)``; total defaults to the tokens of all
-    documents of ``sized``, of targets or not. Sources without a target are left out.
+    documents of ``sized``, of targets or not. Sources without a target and null sources are left out; a source has at most one target;
+    without documents there is no plan.
     """
     counts = written(sized.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")), "lengths")
     if total is None:
@@ -121,9 +122,12 @@ def fit_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None)
 
 
 def select_documents(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """``(id, source, tokens, times)``: how often each document enters the mixture (0 times: left out)."""
+    """``(id, source, tokens, times)``: how often each document enters the mixture (0 times: left out).
+
+    One row per row of ``sized`` with a source in the plan; rows with the same id and hash are told apart by their order only.
+    """
     h = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    rows = sized.withColumn("h", h).withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(SLICES)).cast("int"))
+    rows = sized.select("id", "source", "tokens").withColumn("h", h).withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(SLICES)).cast("int"))
     by_slice = rows.groupBy("source", "tokens", "slice").agg(F.count(F.lit(1)).alias("k"))
     below = F.coalesce(F.sum("k").over(W.partitionBy("source", "tokens").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     quota = by_slice.withColumn("below", below).join(plan.select("source", "tokens", "whole", "extra"), ["source", "tokens"])
@@ -136,15 +140,15 @@ def select_documents(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFr
     return clear.select(*cols).unionByName(edge.select(*cols))
 
 
-def shares(plan: DataFrame, targets: DataFrame, total: DataFrame) -> DataFrame:
+def shares(plan: DataFrame, targets: DataFrame, total: int) -> DataFrame:
     """Report per target: ``(source, target_share, max_repeats, size, used, reached_share, short)``.
 
-    ``total`` is one row (total); reached_share is of the tokens used by all sources. A target without documents has
-    size 0 and is short if its share is over 0.
+    ``total``: tokens of all documents, of targets or not; reached_share is of the tokens used by all sources. A target without
+    documents has size 0 and is short if its share is over 0.
     """
     own = plan.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("size"), F.sum(F.col("tokens") * (F.col("n") * F.col("whole") + F.col("extra"))).alias("used"))
+    all_used = own.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("u")).first().u
     out = targets.select("source", "target_share", "max_repeats").join(own, "source", "left").fillna(0, ["size", "used"])
-    all_used = own.agg(F.sum("used").alias("all_used"))
-    out = out.join(F.broadcast(all_used.select("all_used", F.lit(1).alias("_k")).join(F.broadcast(total.select("total", F.lit(1).alias("_k"))), "_k")).drop("_k"), F.lit(True))
-    short = F.col("size") * F.col("max_repeats") < F.col("target_share") * F.col("total")
-    return out.select("source", "target_share", "max_repeats", "size", "used", (F.col("used") / F.col("all_used")).alias("reached_share"), short.alias("short"))
+    short = F.col("size") * F.col("max_repeats") < F.col("target_share") * F.lit(total)
+    reached = F.when(F.lit(all_used > 0), F.col("used") / F.lit(max(1, all_used))).otherwise(F.lit(0.0))
+    return out.select("source", "target_share", "max_repeats", "size", "used", reached.alias("reached_share"), short.alias("short"))

@@ -170,14 +170,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 # 9 ----------------------------------------------------------------------------------------------------
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     from histolith.llm.mixture import canonical_source, fit_mixture, token_lengths
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), canonical_source(F.col("source")).alias("source"), "text")
     sized = written(token_lengths(docs), "lengths")
     targets = table(spark, d, "mix_targets")
-    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    return sized, targets, written(fit_mixture(sized, targets), "plan"), total
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first().total
+    return sized, targets, written(fit_mixture(sized, targets, total), "plan"), total
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -157,7 +157,7 @@ def test_mixture_reaches_shares(rows):
     size = {s: sum(d[2] for d in docs if d[1] == s) for s in ("big", "mid", "small", "other")}
     total = sum(size.values())
     plan = M.fit_mixture(sized, targets).cache()
-    got = {r.source: r for r in M.shares(plan, targets, sized.agg(F.sum("tokens").alias("total"))).collect()}
+    got = {r.source: r for r in M.shares(plan, targets, total).collect()}
     for s, share, cap in (("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.15, 2), ("absent", 0.05, 5)):
         goal = round(share * total)
         assert got[s].short == (size.get(s, 0) * cap < share * total)
