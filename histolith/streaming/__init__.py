@@ -1 +1 @@
-
+"""Nothing here on purpose: the analysis is a batch function of a history, and change sets enter pair tables by signed deltas."""
