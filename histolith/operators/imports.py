@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import importlib.util
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,16 +57,21 @@ def import_edges(files: DataFrame) -> DataFrame:
     return hits.select(F.least("path", "target").alias("src"), F.greatest("path", "target").alias("dst")).distinct()
 
 
+def available() -> bool:
+    """Whether a library for communities is installed."""
+    return bool(importlib.util.find_spec("igraph") and importlib.util.find_spec("leidenalg"))
+
+
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """``(path, community)`` by the Leiden method with a fixed seed where a library for it is installed, else null (the feature is off).
 
     The libraries hold a graph in one process; graphs of over ten million edges are refused.
     """
-    try:
-        import igraph
-        import leidenalg
-    except ImportError:
+    if not available():
         return None
+    import igraph
+    import leidenalg
+
     if edges.limit(10_000_001).count() > 10_000_000:
         raise ValueError("the graph is too large for a library in one process")
     names = [r.path for r in nodes.select("path").distinct().orderBy("path").collect()]

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="histolith-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -32,7 +35,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/histolith-{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one; it is deleted when the driver exits, if its session is still alive then."""
+    path = f"{shared_folder(spark)}/histolith-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is None:
+                break
+            _delete(spark, path)
+        except Exception:
+            break
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -49,9 +72,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_histolith_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Git repositories as a Spark data source.
 
 ``spark.read.format("gitlog").option("repos", "name=/path;name2=/path2").option("table", "commits").load()``; tables: commits,
-changes, diff_lines, merges, worktree. One repository is one partition. Fields are separated by control characters and paths come
+changes, diff_lines, merges, worktree (tracked lines), files (tracked source files whole) and range_diff (option range =
+``base..head``; sha is the range). One repository is one partition. Fields are separated by control characters and paths come
 NUL-terminated, so neither a pipe in a name nor a non-ASCII path shifts anything. The repositories must be reachable from the
 executors; otherwise ``ingest`` them once to parquet and query that.
 """
@@ -26,6 +27,8 @@ SCHEMAS = {
     "diff_lines": "repo string, sha string, path string, ord int, sign string, content string",
     "merges": "repo string, merge_sha string, base_sha string, merge_date date, sha string",
     "worktree": "repo string, path string, line string",
+    "files": "repo string, path string, text string",
+    "range_diff": "repo string, sha string, path string, ord int, sign string, content string",
 }
 
 
@@ -48,6 +51,33 @@ def ok(path: str, *args: str) -> bool:
         return False
 
 
+#: Extensions of files whose imports are known.
+IMPORTING = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go")
+
+
+def hunk_lines(patch: str) -> Iterator[tuple[str, int, str, str]]:
+    """(path, ord, sign, content) of the changed lines of a patch without context, by the line counts of its hunks."""
+    name = old = None
+    n, left = 0, [0, 0]
+    for line in patch.split("\n"):
+        if left[0] > 0 and line.startswith("-"):
+            left[0] -= 1
+            yield name or old, n, "-", line[1:]
+            n += 1
+        elif left[1] > 0 and line.startswith("+"):
+            left[1] -= 1
+            yield name or old, n, "+", line[1:]
+            n += 1
+        elif line.startswith("diff --git"):
+            name, old, n = None, None, 0
+        elif line.startswith("--- "):
+            old = line[6:].rstrip("\t") if line[4:6] == "a/" else None
+        elif line.startswith("+++ "):
+            name = line[6:].rstrip("\t") if line[4:6] == "b/" else None
+        elif m := re.match(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", line):
+            left = [int(m[1] or 1), int(m[2] or 1)]
+
+
 class _Repo(InputPartition):
     def __init__(self, name: str, path: str):
         self.name, self.path = name, path
@@ -92,25 +122,20 @@ class GitReader(DataSourceReader):
 
     def _diff_lines(self, path: str) -> Iterator[tuple]:
         for block in self._log(path, "--no-merges", "-p", "--unified=0", "--no-color", "--pretty=format:%x1e%H").split("\x1e")[1:]:
-            sha, name, n, left = block[:40], None, 0, [0, 0]
-            old = None
-            for line in block[40:].split("\n"):
-                if left[0] > 0 and line.startswith("-"):
-                    left[0] -= 1
-                    yield sha, name or old, n, "-", line[1:]
-                    n += 1
-                elif left[1] > 0 and line.startswith("+"):
-                    left[1] -= 1
-                    yield sha, name or old, n, "+", line[1:]
-                    n += 1
-                elif line.startswith("diff --git"):
-                    name, old, n = None, None, 0
-                elif line.startswith("--- "):
-                    old = line[6:].rstrip("\t") if line[4:6] == "a/" else None
-                elif line.startswith("+++ "):
-                    name = line[6:].rstrip("\t") if line[4:6] == "b/" else None
-                elif m := re.match(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", line):
-                    left = [int(m[1] or 1), int(m[2] or 1)]
+            for row in hunk_lines(block[40:]):
+                yield block[:40], *row
+
+    def _range_diff(self, path: str) -> Iterator[tuple]:
+        base, _, head = self.window[0].partition("..")
+        for row in hunk_lines(git(path, "diff", "--unified=0", "--no-color", base, head, *self.spec[1:])):
+            yield self.window[0], *row
+
+    def _files(self, path: str) -> Iterator[tuple]:
+        for name in git(path, "ls-files", "-z").split("\0"):
+            parts, full = name.split("/"), os.path.join(path, name)
+            if os.path.splitext(name)[1].lower() in IMPORTING and not set(parts[:-1]) & set(V.WALK_SKIP) and os.path.isfile(full):
+                with open(full, errors="replace") as f:
+                    yield name, f.read()
 
     def _merges(self, path: str) -> Iterator[tuple]:
         text = self._log(path, "--merges", "--date=short", "--pretty=format:%H%x1f%P%x1f%cd")
@@ -157,7 +182,7 @@ def read_history(spark: SparkSession, repos: dict[str, str], **options: str) ->
 
 def ingest(spark: SparkSession, repos: dict[str, str], folder: str, **options: str) -> None:
     """Write all tables of repositories as parquet."""
-    for t in SCHEMAS:
+    for t in SCHEMAS.keys() - {"range_diff"}:
         read(spark, t, repos, **options).write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
 
 

@@ -55,6 +55,9 @@ def test_tables_of_a_repository(spark, repo):
     assert changes[b, "src/b.sql"] == ("R100", "src/a.sql") and changes[a, "café.txt"] == ("A", None)
     lines = [(r.sign, r.content) for r in gitlog.read(spark, "diff_lines", own).where(f"sha = '{c}'").orderBy("ord").collect()]
     assert lines == [("-", "-- one"), ("+", "-- two")]
+    span = [(r.path, r.sign, r.content) for r in gitlog.read(spark, "range_diff", own, range=f"{a}..{c}").where("path = 'src/b.sql' AND sign = '+'").collect()]
+    assert ("src/b.sql", "+", "-- two") in span
+    assert gitlog.read(spark, "files", own).count() == 0
     assert {r.line for r in gitlog.read(spark, "worktree", own).where("path = 'src/b.sql'").collect()} == {"-- two", "x"}
 
 
