@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from histolith.functions import text as X
+from histolith.session import written
 
 CITATION = r"(?i)<!--\s*evidence:\s*([0-9a-fA-F]{7,40})\s+([a-z-]+):(.+?)\s*-->"
 BULLET = r"(?md)^\s*[-*]\s+(.+?)\s*$"
 NOTHING = r"(?i)no alternatives recorded|no verifiable evidence recorded"
 TYPES = ("deleted", "added", "renamed", "message", "removed", "marker")
 SECTIONS = {"madr": "Considered Options", "workaround": "Evidence"}
+#: Characters of the runs on which marker texts meet lines.
+GRAM = 8
 ISSUE = r"https://github\.com/[\w.-]+/[\w.-]+/(?:issues|pull)/\d+"
 
 
@@ -79,8 +82,6 @@ def verify(cited: DataFrame, commits: DataFrame, changes: DataFrame, diff_lines:
         c = c.join(allowed.select("path", F.transform("shas", F.lower).alias("given")), "path", "left").withColumn("scope", F.coalesce("given", "linked")).drop("given")
     else:
         c = c.withColumn("scope", F.col("linked"))
-    from histolith.session import written
-
     c = written(c, "cited")
     inside = F.col("scope").isNull() | F.exists("scope", lambda s: X.sha_match(F.col("sha"), s))
     known = commits.select(F.col("sha").alias("full"), F.concat_ws("\n\n", "subject", "body").alias("message"))
@@ -119,21 +120,36 @@ def verdicts(records: DataFrame, verified: DataFrame) -> DataFrame:
     return out.select("path", "record_type", "kept", "dropped", F.when(clean, "pass").otherwise("fail").alias("overall"), F.when(clean, "pass").otherwise("rewritten").alias("rewritten"))
 
 
+def contained(details: DataFrame, lines: DataFrame) -> DataFrame:
+    """``details(detail)``: the distinct texts that stand in some line of ``lines(line)``.
+
+    A line that holds a text holds each of its runs of ``GRAM`` characters, so texts meet lines on one run, the one that the fewest lines
+    hold, before the text itself is searched. Texts that are shorter than a run are searched in every line.
+    """
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda k: F.substring(c, k, F.lit(GRAM)))
+    details = written(details.where("detail IS NOT NULL").distinct(), "details")
+    lines = written(lines.where("line IS NOT NULL").distinct(), "lines")
+    keyed = details.where(F.length("detail") >= GRAM).select("detail", F.explode(F.array_distinct(grams(F.col("detail")))).alias("gram"))
+    held = lines.where(F.length("line") >= GRAM).select("line", F.explode(F.array_distinct(grams(F.col("line")))).alias("gram"))
+    count = held.join(keyed.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a run that no line holds isn't counted, and its text is in no line
+    rare = keyed.join(count, "gram", "left").groupBy("detail").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    far = rare.join(held, "gram").where(F.contains("line", "detail")).select("detail")
+    near = details.where(F.length("detail") < GRAM).join(lines, F.contains("line", "detail")).select("detail")
+    return far.unionByName(near).distinct()
+
+
 def lifecycle(records: DataFrame, worktree: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """Findings on workaround records: ``(path, status, findings)``.
 
     ``worktree(path, line)``; markdown is left out, as a record quotes its own marker. Only active records are checked.
-    ``closed(url)``: issues known to be closed. Markers are literal texts searched in lines: the distinct markers of records (a
-    few per written record) are what is broadcast, in a nested-loop semi-join; beyond 20,000 the join isn't broadcast.
+    ``closed(url)``: issues known to be closed. Markers are literal texts searched in all lines by ``contained``.
     """
     r = records.where("text IS NOT NULL").withColumn("record_type", record_type(F.col("text"))).where("record_type = 'workaround'")
     base = r.select("path", record_status(F.col("text")).alias("status"), issue_urls(F.col("text")).alias("urls"))
     active = base.where("status = 'active'")
     marks = citations(r.select("path", "text")).where("etype = 'marker'").select("path", "ord", "detail").join(active.select("path"), "path", "left_semi")
-    details = marks.select("detail").distinct()
-    lines = worktree.where("NOT lower(path) LIKE '%.md'").select("line")
-    few = details.limit(20_001).count() <= 20_000
-    there = (F.broadcast(details) if few else details).join(lines, F.contains(F.col("line"), F.col("detail"))).select("detail").distinct()
+    there = contained(marks.select("detail"), worktree.where("NOT lower(path) LIKE '%.md'").select("line"))
     gone = marks.join(there, "detail", "left_anti")
     text = F.concat(F.lit('marker line not found in working tree: "'), "detail", F.lit('" — workaround possibly removed; update status'))
     rows = gone.select("path", F.struct(F.lit(1).alias("k"), "ord", text.alias("t")).alias("f"))

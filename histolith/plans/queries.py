@@ -263,11 +263,10 @@ def workaround_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     clean = h.diff_lines.where("sign = '+' AND length(trim(content)) >= 12 AND NOT contains(content, '-->') AND NOT contains(content, '\"') AND NOT contains(content, \"'\")")
     first = clean.groupBy("sha").agg(F.min_by(F.trim("content"), F.struct("path", "ord")).alias("mark"))
     text = F.concat(F.lit("---\ntype: workaround\nstatus: active\n---\n## Evidence\n- it <!-- evidence: "), F.substring("sha", 1, 12), F.lit(' marker:"'), "mark", F.lit('" -->\n'))
-    records = first.where("length(mark) <= 60").select(F.col("sha").alias("path"), text.alias("text"))
+    records = first.select(F.col("sha").alias("path"), text.alias("text"))
     gone = h.diff_lines.where("sign = '-'").select("content").distinct()
     left = h.diff_lines.where("sign = '+'").join(gone, "content", "left_anti").select("path", F.col("content").alias("line"))
-    few = left.where("path LIKE 'src/%'")
-    return citations.lifecycle(records, few).select("path", "status", F.size("findings").cast("long").alias("findings"))
+    return citations.lifecycle(records, left).select("path", "status", F.size("findings").cast("long").alias("findings"))
 
 
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:

@@ -70,6 +70,24 @@ def test_lifecycle(rows):
     assert {x.path: len(x.findings) for x in C.lifecycle(r, tree, closed).collect()}["kept"] == 1
 
 
+def test_lifecycle_query_reads_the_whole_tree(spark, tmp_path):
+    from histolith.plans.queries import workaround_lifecycle
+
+    c = "sha string, repo string, log_pos long, parents array<string>, author string, author_date date, subject string, body string, ingested_at timestamp"
+    long = "x = y  # HACK: " + "word " * 12 + "end"
+    lines = [("a" * 40, "lib/a.py", "+", "retry()  # HACK: outside src"), ("b" * 40, "src/b.py", "+", long), ("c" * 40, "core/c.py", "+", "gone()  # HACK: taken back"), ("d" * 40, "core/c.py", "-", "gone()  # HACK: taken back")]
+    spark.createDataFrame([(s, "r", k, [], "x", None, "s", "", None) for k, s in enumerate(x * 40 for x in "abcd")], c).write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([(s, "M", None, p, k, None) for k, (s, p, _, _) in enumerate(lines)], "sha string, status string, old_path string, path string, ord int, ingested_at timestamp").write.parquet(f"{tmp_path}/changes.parquet")
+    spark.createDataFrame([(s, p, k, g, t) for k, (s, p, g, t) in enumerate(lines)], "sha string, path string, ord int, sign string, content string").write.parquet(f"{tmp_path}/diff_lines.parquet")
+    assert {r.path[0]: r.findings for r in workaround_lifecycle(spark, str(tmp_path)).collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_texts_in_lines(rows):
+    texts = ["ab", "zz", "a longer text", "a longer texts", "longer text, é", "longer text, e"]
+    got = C.contained(rows([(t,) for t in [*texts, None]], "detail string"), rows([("so: a longer text, é",), ("ab",), (None,)], "line string"))
+    assert {r.detail for r in got.collect()} == {"ab", "a longer text", "longer text, é"}
+
+
 def test_rendering_is_idempotent():
     once = rendered(ADR, "madr", ["Redis <!-- x -->"], 2, False, "m", "2024-01-01")
     assert once == rendered(once, "madr", ["Redis <!-- x -->"], 2, False, "m", "2024-01-01")
