@@ -47,8 +47,10 @@ SLACK = 4
 UNKNOWN = 3
 #: Items that a task holds at a time.
 ITEM_BLOCK = 2000
-#: A stretch has at least so many words.
+#: A stretch has at least so many words; less is a short quotation.
 STRETCH = 8
+#: Most words between two runs of a stretch.
+GAP = 4
 #: A sentence is stock if more than one document in STOCK_SHARE holds it, and STOCK_LEAST or more do.
 STOCK_SHARE, STOCK_LEAST = 100, 4
 #: Windows that are embedded at a time.
@@ -249,23 +251,47 @@ def extensions(doc: np.ndarray, item: np.ndarray, d: np.ndarray, d_end: np.ndarr
     return best_words
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    """Word edit distance, exact."""
+def edit_distances(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> list[int]:
+    """Word edit distances of the beginnings of two texts, exact: of the first m words of ``a`` and n of ``b`` for each (m, n)."""
     row = list(range(len(b) + 1))
+    rows = {0: row[:]} | dict.fromkeys(m for m, _ in ends if m)
     for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             cost = diagonal + (x != y)
             diagonal = row[j]
             row[j] = min(cost, row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+        if i in rows:
+            rows[i] = row[:]
+    return [rows[m][n] for m, n in ends]
+
+
+def edit_distance(a: list[int], b: list[int]) -> int:
+    """Word edit distance, exact."""
+    return edit_distances(a, b, [(len(a), len(b))])[0]
+
+
+def _parts(chain: list[tuple[int, int, int]], x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Parts (start, end in the item) of a chain of runs whose edit distance is at most one in DIFFER of their words: the chain itself, or
+    if that has more, all its parts from run to run."""
+    parts: list[tuple[int, int]] = []
+    ends = [(d + s, i + s) for d, i, s in chain]
+    for p, (d0, i0, _) in enumerate(chain):
+        if ends[-1][1] - i0 < STRETCH:
+            continue
+        # only equal runs need no check
+        wrong = [0] if p == len(chain) - 1 else edit_distances(x[d0 : ends[-1][0]], y[i0 : ends[-1][1]], [(d - d0, i - i0) for d, i in ends[p:]])
+        parts += [(i0, i) for (_, i), w in zip(ends[p:], wrong) if i - i0 >= STRETCH and w * DIFFER <= i - i0]
+        if p == 0 and parts and parts[-1] == (i0, ends[-1][1]):
+            return parts[-1:]
+    return parts
 
 
 def stretches(doc: np.ndarray, item: np.ndarray, stock: np.ndarray) -> list[tuple[int, int, int]]:
     """Stretches of an item in a document: (words that count, start, end) in the item, longest first.
 
-    Runs of two or more equal words are chained where no more than three words lie between them; a stretch begins and ends with a
-    run, and its ends are given up until its edit distance is at most one in DIFFER of its words.
+    Runs of two or more equal words are chained where no more than GAP words lie between them; a stretch begins and ends with a
+    run, has STRETCH words or more, and its edit distance is at most one in DIFFER of its words.
     """
     places: dict[int, list[int]] = defaultdict(list)
     for k, w in enumerate(item.tolist()):
@@ -286,15 +312,17 @@ def stretches(doc: np.ndarray, item: np.ndarray, stock: np.ndarray) -> list[tupl
             before = d
     runs.sort()
     best: list[tuple[int, int]] = []
+    ending: dict[int, list[int]] = defaultdict(list)  # earlier runs by the document word after their last
     for n, (d, i, size) in enumerate(runs):
         top, link = size, -1
-        for m in range(n - 1, max(-1, n - 40), -1):
+        for m in sorted((m for end in range(d - GAP, d + size) for m in ending.get(end, ())), reverse=True):
             e, j, s = runs[m]
             cut = max(0, e + s - d, j + s - i)  # runs may overlap by a repeated word
             gap = max(d - e - s + cut, i - j - s + cut)
-            if cut < min(s, size) and 0 <= gap <= 4 and min(d - e - s + cut, i - j - s + cut) >= 0 and best[m][0] + size - cut - 3 * gap > top:
+            if cut < min(s, size) and 0 <= gap <= GAP and min(d - e - s + cut, i - j - s + cut) >= 0 and best[m][0] + size - cut - 3 * gap > top:
                 top, link = best[m][0] + size - cut - 3 * gap, m
         best.append((top, link))
+        ending[d + size].append(n)
     out, used = [], set()
     for n in sorted(range(len(runs)), key=lambda n: -best[n][0]):
         chain = []
@@ -303,19 +331,11 @@ def stretches(doc: np.ndarray, item: np.ndarray, stock: np.ndarray) -> list[tupl
             chain.append(runs[n])
             n = best[n][1]
         chain.reverse()
-        while chain:
-            d0, i0, _ = chain[0]
-            d1, i1 = chain[-1][0] + chain[-1][2], chain[-1][1] + chain[-1][2]
-            if i1 - i0 < STRETCH:
-                break
-            # an interior gap of words is at most their edit distance apart; only equal runs need no check
-            wrong = 0 if len(chain) == 1 else edit_distance(x[d0:d1], item[i0:i1].tolist())
-            if wrong * DIFFER <= i1 - i0:
+        if chain:
+            for i0, i1 in _parts(chain, x, item.tolist()):
                 live = int((~stock[i0:i1]).sum())
                 if live >= STRETCH:
                     out.append((live, i0, i1))
-                break
-            chain = chain[1:] if chain[0][2] < chain[-1][2] else chain[:-1]
     return sorted(out, reverse=True)
 
 

@@ -105,6 +105,24 @@ def test_recall_of_the_embedding():
     assert L.recall(0) == 1.0 and L.recall(1) > 0.9 and L.recall(2) > 0.7
 
 
+def found(item, doc, stock=None):
+    item = np.array(item, np.int32)
+    return L.carried(L.stretches(np.array(doc, np.int32), item, np.zeros(len(item), bool) if stock is None else stock))
+
+
+def test_runs_cut_from_a_chain_are_a_stretch_of_their_own():
+    item = list(range(1, 61))
+    doc = lambda *wrong: [0 if w in wrong else w for w in item[:40]]
+    assert found(item, [*item[:13], 0, 0, 0, 0, *item[17:30]]) == 26
+    assert found(item, [*doc(8)[:15], 0, 0, 0, *doc(26)[18:33]]) == 30
+    assert found(item, [*doc(6)[:15], 0, 0, 0, *doc(28)[18:33]]) == 30
+
+
+def test_many_runs_between_two_of_a_chain():
+    a, b, more = [*range(10, 22)], [*range(30, 43)], [1, 2, 9] * 60
+    assert found([*a, 1, 2, 9, *b, *more], [*a, 1, 2, 8, *b]) == 28
+
+
 def test_window_distances_are_exact():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 4, (200, 12)), rng.integers(0, 4, (200, 12))
