@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text.
 
-A document carries an item if it holds ``LEAST`` words of it in their order, in one or two stretches, up to one word in
-eight differing. One of at most two stretches has ``LEAST / 2`` words, so documents and items are compared by all their
+A document carries an item if it holds ``LEAST`` words of it in their order, in one or two stretches of ``STRETCH`` words or
+more, up to one word in eight of a stretch differing. One of at most two stretches has ``LEAST / 2`` words, so documents and items are compared by all their
 windows of that size:
 
 1. *Words*: case, punctuation, markup, invisible characters and layout are dropped; words become numbers of the item
@@ -12,8 +12,8 @@ windows of that size:
 4. *Bit sampling*: under each of ``WALKS`` walks, ``SAMPLES`` samples of ``BITS`` positions are keys; windows that
    share a key are candidates. At the worst allowed density of edits a passage is met with probability ``recall()``.
 5. *Verification*: the exact edit distances of all candidate windows are computed together, and a window of more than ``NEAR`` edits is no
-   candidate. What is left is extended in both directions by a banded alignment, again all at once, and only where the extended
-   words reach ``LEAST - SLACK`` are equal runs chained to stretches, whose word edit distance is exact.
+   candidate. One window that is left admits a pair of document and item: where enough of the item's words lie in runs of two that the
+   document holds (a proven bound), equal runs are chained to stretches, whose word edit distance is exact.
 
 Items are the query set: they are taken in blocks of ``ITEM_BLOCK`` and held by every task; documents are never shuffled.
 """
@@ -39,10 +39,6 @@ WALKS, SAMPLES, BITS = 3, 4, 7
 #: Most edits between a window of a document and of an item that it carries: a passage has a window with two or less, and
 #: an insertion costs a window one more at its end.
 NEAR = 4
-#: Band and cost of an edit in the alignment that extends a window, and how far a score may fall behind its best.
-BAND, COST, FALL = 4, 3, 16
-#: Words by which the extended alignment may fall short of the exact count.
-SLACK = 4
 #: Words of a window that may be in no item.
 UNKNOWN = 3
 #: Items that a task holds at a time.
@@ -213,44 +209,6 @@ def window_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, w]
 
 
-def extensions(doc: np.ndarray, item: np.ndarray, d: np.ndarray, d_end: np.ndarray, i: np.ndarray, i_end: np.ndarray, step: int) -> np.ndarray:
-    """Item words by which the alignment from (d, i) on, in direction ``step`` up to the ends (exclusive), scores best.
-
-    A word that is equal scores 1, an edit costs ``COST``; alignments stay within ``BAND`` of the diagonal.
-    """
-    best_words = np.zeros(len(d), np.int64)
-    live = np.arange(len(d))
-    width = 2 * BAND + 1
-    score = np.full((len(d), width), -(1 << 12), np.int32)
-    score[:, BAND:] = -COST * np.arange(BAND + 1)  # words of the document that are skipped first
-    best = np.zeros(len(d), np.int32)
-    shift = np.arange(-BAND, BAND + 1) * step
-    t = 0
-    while len(live):
-        at = i[live] + t * step
-        inside = (at < i_end[live]) if step > 0 else (at > i_end[live])
-        if not inside.all():
-            live, score, best, at = live[inside], score[inside], best[inside], at[inside]
-            if not len(live):
-                break
-        where = (d[live] + t * step)[:, None] + shift
-        within = (where < d_end[live][:, None]) & (where >= 0) if step > 0 else (where > d_end[live][:, None]) & (where < len(doc))
-        equal = within & (doc[np.where(within, where, 0)] == item[at][:, None])
-        nxt = np.where(equal, score + 1, score - COST)
-        nxt[:, :-1] = np.maximum(nxt[:, :-1], score[:, 1:] - COST)  # a word of the item is missing
-        for b in range(1, width):  # a word of the document is extra
-            np.maximum(nxt[:, b], nxt[:, b - 1] - COST, out=nxt[:, b])
-        score, t = nxt, t + 1
-        top = score.max(1)
-        better = top > best
-        best = np.where(better, top, best)
-        best_words[live[better]] = t
-        keep = top > best - FALL
-        if not keep.all():
-            live, score, best = live[keep], score[keep], best[keep]
-    return best_words
-
-
 def edit_distances(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> list[int]:
     """Word edit distances of the beginnings of two texts, exact: of the first m words of ``a`` and n of ``b`` for each (m, n)."""
     row = list(range(len(b) + 1))
@@ -323,19 +281,20 @@ def stretches(doc: np.ndarray, item: np.ndarray, stock: np.ndarray) -> list[tupl
                 top, link = best[m][0] + size - cut - 3 * gap, m
         best.append((top, link))
         ending[d + size].append(n)
-    out, used = [], set()
+    out, used, y = set(), set(), item.tolist()
     for n in sorted(range(len(runs)), key=lambda n: -best[n][0]):
+        if n in used:
+            continue
         chain = []
-        while n >= 0 and n not in used:
+        while n >= 0:  # also through runs of a better chain, which may leave a worse one's end out
             used.add(n)
             chain.append(runs[n])
             n = best[n][1]
         chain.reverse()
-        if chain:
-            for i0, i1 in _parts(chain, x, item.tolist()):
-                live = int((~stock[i0:i1]).sum())
-                if live >= STRETCH:
-                    out.append((live, i0, i1))
+        for i0, i1 in _parts(chain, x, y):
+            live = int((~stock[i0:i1]).sum())
+            if live >= STRETCH:
+                out.add((live, i0, i1))
     return sorted(out, reverse=True)
 
 
@@ -351,19 +310,22 @@ def carried(found: list[tuple[int, int, int]]) -> int:
     return best
 
 
-def _reaching(spans: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Pairs of which the spans (pair, start, end) together hold enough words that count (``counts``: running number of them)."""
-    spans = np.unique(spans, axis=0)
-    pair, start, end = spans[:, 0], spans[:, 1], spans[:, 2]
-    if not len(pair):
-        return pair
-    # union of the spans of a pair: each adds what lies beyond the furthest end so far
-    offset = pair * (len(counts) + 1)
-    reached = np.maximum.accumulate(np.r_[-1, (offset + end)[:-1]]) - offset
-    lo = np.clip(reached, start, end)
-    firsts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-    held = np.add.reduceat(counts[end] - counts[lo], firsts)
-    return pair[firsts][held >= LEAST - SLACK]
+def _covered(item: np.ndarray, stock: np.ndarray, pairs: np.ndarray) -> bool:
+    """Whether enough of an item's words lie in runs of two that a document with these sorted runs (``_twos``) holds as well.
+
+    Of T words in stretches an edit in eight takes one and leaves one alone, so T - T / 4 lie in such runs, T being LEAST or more. Words
+    that count are LEAST of T, and T is at most LEAST and all stock words more.
+    """
+    if not len(pairs) or len(item) < 2:
+        return False
+    twos = _twos(item)
+    equal = pairs[np.minimum(np.searchsorted(pairs, twos), len(pairs) - 1)] == twos
+    held = np.r_[equal, False] | np.r_[False, equal]
+    return 4 * held.sum() >= 3 * LEAST and 4 * (held & ~stock).sum() >= 3 * LEAST - stock.sum()
+
+
+def _twos(words: np.ndarray) -> np.ndarray:
+    return (words[:-1].astype(np.int64) << 32) | words[1:]
 
 
 def _search(items: Items, seed: int):
@@ -387,8 +349,6 @@ def _search(items: Items, seed: int):
     order = np.argsort(key, kind="stable")
     key, place = key[order], place[order]
     bounds = np.cumsum([len(x) for x in items.ids.values()])
-    firsts = bounds - np.array([len(x) for x in items.ids.values()])
-    counts = np.r_[0, np.cumsum(~np.concatenate(list(items.stock.values())))] if items.ids else np.zeros(1, int)
     filter_bits = 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,12 +384,15 @@ def _search(items: Items, seed: int):
                         good = window_distances(words[d[:, None] + reach], text[i[:, None] + reach]) <= NEAR
                         d, i = d[good], i[good]
                         x, y = np.searchsorted(ends, d, "right"), np.searchsorted(bounds, i, "right")
-                        right = extensions(words, text, d + WINDOW, ends[x], i + WINDOW, bounds[y], 1)
-                        left = extensions(words, text, d - 1, begins[x] - 1, i - 1, firsts[y] - 1, -1)
-                        met.append(np.unique(np.stack([x * len(names) + y, i - left, i + WINDOW + right], 1), axis=0))
-            both = _reaching(np.concatenate(met), counts) if met else np.zeros(0, np.int64)
+                        met.append(np.unique(x * len(names) + y))
+            both = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
             out_doc, out_item, out_n = [], [], []
+            of, pairs = -1, np.zeros(0, np.int64)
             for d, i in zip((both // len(names)).tolist(), names[both % len(names)].tolist() if len(both) else []):
+                if d != of:
+                    of, pairs = d, np.unique(_twos(words[begins[d] : ends[d]]))
+                if not _covered(items.ids[i], items.stock[i], pairs):
+                    continue
                 n = carried(stretches(words[begins[d] : ends[d]], items.ids[i], items.stock[i]))
                 if n >= LEAST:
                     out_doc.append(d)

@@ -123,6 +123,15 @@ def test_many_runs_between_two_of_a_chain():
     assert found([*a, 1, 2, 9, *b, *more], [*a, 1, 2, 8, *b]) == 28
 
 
+def test_a_short_second_stretch_need_not_be_met(rows):
+    rng = random.Random(5)
+    items = {i: sentence(rng, 60).split() for i in range(40)}
+    fill = lambda n: sentence(rng, n).split()
+    docs = [(i, " ".join([*fill(20), *w[:16], *fill(20), *w[30:34], "altered", *w[35:38], *fill(20)])) for i, w in items.items()]
+    got = L.leaked(rows(docs, "id long, text string"), rows([(i, " ".join(w)) for i, w in items.items()], "id long, text string"))
+    assert {(r.id, r.item, r.carried) for r in got.collect()} == {(i, i, 24) for i in items}
+
+
 def test_window_distances_are_exact():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 4, (200, 12)), rng.integers(0, 4, (200, 12))
