@@ -75,6 +75,12 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in fewer parts than there are cores (a small table in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
