@@ -7,6 +7,11 @@ def _clean(c: str) -> str:
     return rf"regexp_replace(regexp_replace(replace(trim({c}, ' '), '\', '/'), '/+', '/', 'g'), '^\./', '')"
 
 
+def _words(c: str) -> str:
+    joined = rf"regexp_replace(regexp_replace(nfc_normalize({c}), '[\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '(\p{{L}})-[ \t]*\r?\n[ \t>]*(\p{{L}})', '\1\2', 'g')"
+    return rf"regexp_extract_all(lower({joined}), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
 _TERMS = f"""
 f AS (SELECT sha, {_clean('f')} AS term FROM (SELECT sha, unnest(files) AS f FROM (SELECT DISTINCT ON (sha) sha, files FROM commits)) WHERE f IS NOT NULL),
 c AS (SELECT DISTINCT ON (cand_id) * FROM candidates),
@@ -60,6 +65,14 @@ WITH RECURSIVE e AS (SELECT DISTINCT c.cand_id, m.sha FROM (SELECT cand_id, lowe
 l AS (SELECT DISTINCT a.sha AS s, b.sha AS t FROM e a JOIN e b USING (cand_id) WHERE a.sha <> b.sha),
 r AS (SELECT s, s AS t FROM l UNION SELECT r.s, l.t FROM r JOIN l ON l.s = r.t)
 SELECT s AS sha, min(t) AS group_sha FROM r GROUP BY s""",
+        # a plainer rule: twelve runs of four words that at most one document in a hundred holds
+        "p8_found": f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_words('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+ig AS (SELECT item_id, p, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM i)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d)),
+few AS (SELECT g FROM dg WHERE g IN (SELECT g FROM ig) GROUP BY g HAVING count(*) * 100 <= (SELECT count(*) FROM documents) OR count(*) < 4)
+SELECT doc_id, item_id FROM dg JOIN ig USING (g) JOIN few USING (g) GROUP BY doc_id, item_id HAVING count(DISTINCT p) >= 12""",
         # any usual size gives the same cases: characters here, tokens there
         "p9_found": """
 WITH d AS (SELECT replace(lower(trim(source)), '-', '_') AS source, length(coalesce(text, '')) AS n FROM documents),
