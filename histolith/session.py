@@ -58,10 +58,10 @@ def _clear() -> None:
             break
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a table in the shared folder: a lineage cut that survives the loss of executors."""
+def written(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, partitioned ``by`` a column: a lineage cut that survives the loss of executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._histolith_path = path
     return out
