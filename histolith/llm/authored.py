@@ -1,14 +1,15 @@
 """Generated, minified or vendored source files: belief propagation over directory trees.
 
 The files and directories of a repository form a tree. Each node has one of five hidden labels, hand-written,
-generated, minified, vendored or blob. Names of files, names of directories and first changed lines give each node
-its own evidence; a compatibility of parent and child lets evidence travel: down from a directory
-(``node_modules``) to the files below it, and up from files to their directory and so to silent siblings. On a tree,
+generated, minified, vendored or blob. Names of files and first changed lines give a file evidence of its own; a directory with a telling name is
+observed, and so is the root (hand-written). A compatibility of parent and child lets evidence travel: down from a directory
+(``node_modules``) to the files below it, and up from files to their directory and so to silent siblings: where one file in a directory shows
+nothing and its many siblings say that a tool wrote them, it is taken for one of them; where some are silent, they are not. On a tree,
 max-product propagation is exact after one pass up and one pass down.
 
 A pass is one aggregation or join per depth of the tree over the *directories* of that depth; files take part once on
-the way up and once on the way down. Beliefs are whole numbers (hundredths of a nat), so sums don't depend on
-the order of rows. A directory with very many children is reduced before it is shuffled.
+the way up and once on the way down. Beliefs are whole numbers, so sums don't depend on
+the order of rows. A directory with very many children is reduced before it is shuffled; joins are shuffles, whatever their size.
 """
 
 from __future__ import annotations
@@ -42,17 +43,15 @@ HEX_LINE = r"^\s*(0x[0-9A-Fa-f]{1,2},?\s*){12,}$|(\\x[0-9A-Fa-f]{2}){24,}"
 BASE64_LINE = r"['\"`]?[A-Za-z0-9+/]{160,}={0,2}['\"`]?"
 
 # Evidence and compatibilities, in hundredths of a nat -------------------------------------------------
-STRONG, FIRM = 1200, 4000
-#: What a label other than hand-written costs a file: silence speaks for a hand.
-SILENT = -150
-#: The root of a repository is hand-written.
-ROOT = -2000
-#: A directory can't be talked out of its own evidence by more than this by its children.
-SWAY = 400
+#: What a sign says for its label, and what the lack of any sign says against each label but hand-written: one silent file outweighs
+#: eight siblings that show signs (2000 against 250 each).
+SIGN, SILENT = 1050, -2000
+#: Observed labels and hard constraints: more than any sum of the others.
+SURE = 1 << 50
 #: Cost of a label other than hand-written below a hand-written directory: for a directory, for a file.
-TURN = {"dir": -450, "file": -250}
-#: Cost of hand-written below any other label, and of one other label below another.
-BACK, CROSS = -4000, -100
+TURN = {"dir": -200, "file": -250}
+#: Cost of one label other than hand-written below another; hand-written below any other label is impossible.
+CROSS = -100
 
 
 def line_flags(content: Column) -> dict[str, Column]:
@@ -79,22 +78,21 @@ N = range(len(LABELS))
 def _file_evidence() -> list[str]:
     base = "element_at(split(path, '/'), -1)"
     like = lambda *patterns: " OR ".join(f"{base} RLIKE '{_sql(p)}'" for p in patterns)
-    add = lambda *tests: f"{SILENT} + " + " + ".join(f"IF({t}, {STRONG}, 0)" for t in tests)
+    sign = lambda *tests: f"IF({' OR '.join(tests)}, {SIGN}, {SILENT})"
     return [
         "0",
-        add(like(LOCK_FILES, GENERATED_FILES), "said_generated"),
-        add(like(MINIFIED_FILES), like(HASHED_FILES), "said_minified"),
-        add("said_vendored"),
-        add("said_blob"),
+        sign(like(LOCK_FILES, GENERATED_FILES), "said_generated"),
+        sign(like(MINIFIED_FILES, HASHED_FILES), "said_minified"),
+        sign("said_vendored"),
+        sign("said_blob"),
     ]
 
 
 def _dir_evidence() -> list[str]:
     name = "element_at(split(dir, '/'), -1)"
-    root = f"IF(dir = '', {ROOT}, 0)"
     generated = f"{name} RLIKE '{_sql(GENERATED_DIRS)}' OR {name} RLIKE '{_sql(BUILT_DIRS)}' OR dir RLIKE '{_sql(BUILT_PAIRS)}'"
     vendored = f"{name} RLIKE '{_sql(VENDOR_DIRS)}' OR dir RLIKE '{_sql(VERSIONED_COPY)}'"
-    return ["0", f"{root} + IF({generated}, {FIRM}, 0)", root, f"{root} + IF({vendored}, {FIRM}, 0)", root]
+    return [f"IF(dir = '', {SURE}, 0)", f"IF({generated}, {SURE}, 0)", "0", f"IF({vendored}, {SURE}, 0)", "0"]
 
 
 def _sql(pattern: str) -> str:
@@ -102,7 +100,7 @@ def _sql(pattern: str) -> str:
 
 
 def _compatible(parent: int, child: int, kind: str) -> int:
-    return 0 if parent == child else TURN[kind] if parent == 0 else BACK if child == 0 else CROSS
+    return 0 if parent == child else TURN[kind] if parent == 0 else -SURE if child == 0 else CROSS
 
 
 def _with(df: DataFrame, prefix: str, cols: list[str]) -> DataFrame:
@@ -119,10 +117,6 @@ def _message(df: DataFrame, out: str, own: list[str], kind: str, up: bool) -> Da
     return _with(df, out, [f"_r{i} - _r0" for i in N]).drop(*[f"{x}{i}" for x in ("_b", "_r") for i in N])
 
 
-def _sway(x: str) -> str:
-    return f"greatest({-SWAY}, least({SWAY}, {x}))"
-
-
 def _cols(*prefixes: str) -> list[str]:
     return [f"{p}{i}" for p in prefixes for i in N]
 
@@ -147,8 +141,8 @@ def label_files(files: DataFrame) -> DataFrame:
     leafy = written(files.groupBy("repo", F.col("parent").alias("dir")).agg(*[F.sum(f"m{i}").alias(f"s{i}") for i in N]), "leafy")
     above = "transform(sequence(0, size(split(dir, '/'))), i -> array_join(slice(split(dir, '/'), 1, i), '/'))"
     dirs = leafy.selectExpr("repo", f"explode({above}) AS dir").distinct().selectExpr("*", "IF(dir = '', 0, size(split(dir, '/'))) AS depth")
-    dirs = _with(dirs, "u", _dir_evidence()).join(leafy, ["repo", "dir"], "left").fillna(0, _cols("s"))
-    dirs = written(dirs, "dirs")
+    dirs = _with(dirs, "u", _dir_evidence()).join(leafy.hint("merge"), ["repo", "dir"], "left").fillna(0, _cols("s"))
+    dirs = written(dirs, "dirs", by="depth")
     deepest = dirs.agg(F.max("depth").alias("d")).first().d
     if deepest is None:
         return files.select("repo", "path", F.lit(LABELS[0]).alias("label")).limit(0)
@@ -159,12 +153,12 @@ def label_files(files: DataFrame) -> DataFrame:
     for k in range(deepest, -1, -1):
         level = dirs.where(F.col("depth") == k).drop("depth")
         if said is not None:
-            level = level.join(said, ["repo", "dir"], "left").fillna(0, _cols("t")).selectExpr("repo", "dir", *_cols("u"), *[f"s{i} + t{i} AS s{i}" for i in N])
-        levels[k] = written(_message(level, "m", [f"u{i} + {_sway(f's{i}')}" for i in N], "dir", up=True), f"up{k}")
+            level = level.join(said.hint("merge"), ["repo", "dir"], "left").fillna(0, _cols("t")).selectExpr("repo", "dir", *_cols("u"), *[f"s{i} + t{i} AS s{i}" for i in N])
+        levels[k] = written(_message(level, "m", [f"u{i} + s{i}" for i in N], "dir", up=True), f"up{k}")
         said = levels[k].where("dir <> ''").groupBy("repo", F.expr(_parent("dir")).alias("dir")).agg(*[F.sum(f"m{i}").alias(f"t{i}") for i in N])
 
     # down: what a directory believes without the child at hand
-    cavity = [f"pu{i} + pd{i} + {_sway(f'ps{i} - m{i}')}" for i in N]
+    cavity = [f"pu{i} + pd{i} + ps{i} - m{i}" for i in N]
     as_parent = lambda df: df.selectExpr("repo", "dir AS parent", *[f"{c} AS p{c}" for c in _cols("u", "s", "d")])
     done: list[DataFrame] = []
     for k in range(deepest + 1):
@@ -172,11 +166,11 @@ def label_files(files: DataFrame) -> DataFrame:
         if k == 0:
             level = _with(level, "d", ["0"] * len(LABELS))
         else:
-            level = _message(level.join(as_parent(done[-1]), ["repo", "parent"]), "d", cavity, "dir", up=False)
+            level = _message(level.join(as_parent(done[-1]).hint("merge"), ["repo", "parent"]), "d", cavity, "dir", up=False)
         level = level.select("repo", "dir", *_cols("u", "s", "d"))
         done.append(written(level, f"down{k}") if k < deepest else level)
     believed = as_parent(reduce(DataFrame.unionByName, done))
-    leaves = _message(files.join(believed, ["repo", "parent"]), "d", cavity, "file", up=False)
+    leaves = _message(files.join(believed.hint("merge"), ["repo", "parent"]), "d", cavity, "file", up=False)
     leaves = _with(leaves, "b", [f"u{i} + d{i}" for i in N])
     label = "CASE " + " ".join(f"WHEN b{i} = greatest({', '.join(_cols('b'))}) THEN '{x}'" for i, x in enumerate(LABELS)) + " END"
     # written: a filter on the label would be pushed down through all steps, each of which multiplies it

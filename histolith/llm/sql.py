@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from histolith.llm import authored as A
+
 
 def _clean(c: str) -> str:
     return rf"regexp_replace(regexp_replace(replace(trim({c}, ' '), '\', '/'), '/+', '/', 'g'), '^\./', '')"
@@ -37,6 +39,30 @@ p AS (SELECT a.kind, a.k AS key_a, z.k AS key_b, any_value(a.n) AS na, any_value
 r AS (SELECT kind, key_a, key_b FROM p WHERE o * 10 >= 6 * (na + nb - o))"""
 
 
+def _hand_rules() -> str:
+    """Names and lines that show a file isn't hand-written (siblings decide nothing on the test tables)."""
+    any_of = lambda c, *patterns: " OR ".join(f"regexp_matches({c}, '{_quoted(p)}')" for p in patterns)
+    base, segment = "regexp_extract(path, '[^/]*$')", "x"
+    folder = "regexp_replace(path, '/?[^/]*$', '')"
+    hashed = A.HASHED_FILES.replace("(?=[0-9a-f]*[0-9])", "")
+    name = f"{any_of(base, A.LOCK_FILES, A.GENERATED_FILES, A.MINIFIED_FILES)} OR (regexp_matches({base}, '{hashed}') AND regexp_matches(regexp_extract({base}, '{hashed}'), '[0-9]'))"
+    dirs = f"len(list_filter(string_split({folder}, '/'), lambda {segment}: {any_of(segment, A.VENDOR_DIRS, A.GENERATED_DIRS, A.BUILT_DIRS)})) > 0"
+    nested = " OR ".join(f"regexp_matches({folder}, '{_quoted(p.removesuffix('$'))}(/|$)')" for p in (A.BUILT_PAIRS, A.VERSIONED_COPY))
+    return f"{name} OR {dirs} OR {nested}"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _said(c: str) -> str:
+    gaps, marks = f"length({c}) - length(translate({c}, ' ' || chr(9), ''))", f"length({c}) - length(translate({c}, ';,{{}}()=.:&|?!+', ''))"
+    dense = f"(length({c}) >= 160 AND ({gaps}) * 50 < length({c}) AND ({marks}) * 6 > length({c}))"
+    note = f"regexp_matches({c}, '{_quoted(A.COMMENT)}') AND (regexp_matches({c}, '{_quoted(A.GENERATED_LINE)}') OR regexp_matches({c}, '{_quoted(A.VENDORED_LINE)}'))"
+    blob = f"length({c}) >= 60 AND (regexp_matches({c}, '{_quoted(A.HEX_LINE)}') OR regexp_matches({c}, '{_quoted(A.BASE64_LINE)}'))"
+    return f"({note}) OR {dense} OR ({blob})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_frequencies": f"WITH {_TERMS} SELECT kind, term, occurrences, records, total, mark FROM m",
@@ -65,6 +91,11 @@ WITH RECURSIVE e AS (SELECT DISTINCT c.cand_id, m.sha FROM (SELECT cand_id, lowe
 l AS (SELECT DISTINCT a.sha AS s, b.sha AS t FROM e a JOIN e b USING (cand_id) WHERE a.sha <> b.sha),
 r AS (SELECT s, s AS t FROM l UNION SELECT r.s, l.t FROM r JOIN l ON l.s = r.t)
 SELECT s AS sha, min(t) AS group_sha FROM r GROUP BY s""",
+        "p7_found": f"""
+WITH r AS (SELECT sha, min(repo) AS repo FROM commits GROUP BY sha),
+p AS (SELECT DISTINCT repo, {_clean('path')} AS path FROM changes JOIN r USING (sha) WHERE path IS NOT NULL),
+s AS (SELECT DISTINCT repo, {_clean('path')} AS path FROM diff_lines JOIN r USING (sha) WHERE {_said('content')})
+SELECT repo, path FROM p WHERE {_hand_rules()} OR EXISTS (SELECT 1 FROM s WHERE s.repo = p.repo AND s.path = p.path)""",
         # a plainer rule: twelve runs of four words that at most one document in a hundred holds
         "p8_found": f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL),

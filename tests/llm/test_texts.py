@@ -59,6 +59,70 @@ def test_many_children_nulls_and_no_files(rows):
     assert label_files(rows([], FILES)).collect() == []
 
 
+def test_a_silent_file_follows_its_siblings(rows):
+    paths = [f"src/api/stubs/s{i}.py" for i in range(41)] + [f"src/mixed/m{i}.py" for i in range(41)] + [f"src/plain/p{i}.py" for i in range(41)] + ["src/main.py"]
+    flagged = [(p, ("said_generated",)) for p in [*paths[:40], *paths[41:61]]]
+    got = labels(rows, paths, flagged)
+    assert all(got[p] == "generated" for p in paths[:41]), got[paths[40]]
+    assert all(got[p] == "generated" for p in paths[41:61]) and all(got[p] == "hand" for p in paths[61:])
+    # a directory that only has such directories makes no difference to a file beside them
+    more = [f"kit/{d}/x{i}.py" for d in "abc" for i in range(20)] + ["kit/own.py"]
+    got = labels(rows, more, [(p, ("said_vendored",)) for p in more[:-1]])
+    assert got["kit/own.py"] == "hand" and all(got[p] == "vendored" for p in more[:-1])
+
+
+def brute_labels(paths, flags):
+    """Labels of files by max-marginals over all labelings of files and directories."""
+    import itertools
+
+    from histolith.llm import authored as A
+
+    nodes = {}
+    for p in paths:
+        parts = p.split("/")
+        for k in range(len(parts)):
+            nodes["/".join(parts[:k])] = "dir"
+    nodes |= {f"file:{p}": "file" for p in paths}
+    names = list(nodes)
+
+    def parent(n):
+        path = n.removeprefix("file:")
+        return path.rpartition("/")[0]
+
+    def own(n, label):
+        if nodes[n] == "dir":
+            base = n.rpartition("/")[2]
+            seen = {"": 0, "node_modules": 3, "dist": 1}.get(n if n == "" else base)
+            return A.SURE * (seen == label)
+        p = n.removeprefix("file:")
+        sign = {1: "said_generated" in flags.get(p, ()) or p.endswith(".pb.go"), 2: "said_minified" in flags.get(p, ()) or p.endswith(".min.js"), 3: "said_vendored" in flags.get(p, ()), 4: "said_blob" in flags.get(p, ())}
+        return 0 if label == 0 else A.SIGN if sign[label] else A.SILENT
+
+    best = {}
+    for pick in itertools.product(range(5), repeat=len(names)):
+        of = dict(zip(names, pick))
+        score = sum(own(n, x) for n, x in of.items()) + sum(A._compatible(of[parent(n)], x, nodes[n]) for n, x in of.items() if n)
+        for n, x in of.items():
+            if nodes[n] == "file" and score > best.get((n, x), -(1 << 62)):
+                best[n, x] = score
+    return {p: A.LABELS[max(range(5), key=lambda x: (best[f"file:{p}", x], -x))] for p in paths}
+
+
+@pytest.mark.parametrize("paths, flags", [
+    (["a/x.py", "a/y.py", "a/z.pb.go"], {"a/x.py": ("said_generated",)}),
+    (["node_modules/a/x.js", "y.min.js"], {}),
+    (["a/dist/x.js", "a/y.js"], {"a/y.js": ("said_blob",)}),
+    (["a/b/x.js", "a/y.js"], {"a/b/x.js": ("said_vendored", "said_minified")}),
+    (["node_modules/dist/x.js", "node_modules/y.min.js"], {}),
+])
+def test_propagation_is_exact(rows, paths, flags, monkeypatch):
+    from histolith.llm import authored as A
+
+    assert labels(rows, paths, flags.items()) == brute_labels(paths, flags)
+    monkeypatch.setattr(A, "SILENT", -60)  # siblings weigh more
+    assert labels(rows, paths, flags.items()) == brute_labels(paths, flags)
+
+
 # leakage ----------------------------------------------------------------------------------------------
 
 
