@@ -351,6 +351,24 @@ def test_budget_is_fitted_exactly_where_lengths_allow():
     assert M._fit([], 5) == {} and M._fit([(3, 2)], 0) == {3: 0}
 
 
+def test_sparse_lengths_are_fitted_as_well_as_can_be():
+    rng = random.Random(9)
+    for n in range(400):
+        lengths = [(x * (1 + 2 * (n % 2)), rng.randrange(1, 400)) for x in rng.sample(range(1, 400), rng.randrange(1, 6))]
+        budget = rng.randrange(sum(x * c for x, c in lengths))
+        take = M._fit(lengths, budget)
+        reach = 1
+        for x, c in lengths:
+            assert 0 <= take.get(x, 0) <= c
+            for k in M._parts(c):
+                reach |= reach << (x * k)
+        assert sum(x * k for x, k in take.items()) == (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    assert sum(x * k for x, k in M._fit([(316, 13), (292, 327)], 68800).items()) == 68788
+    # many documents of lengths that can't meet the budget
+    lengths = [(10 * k, 50_000) for k in range(1, 30)] + [(1, 1), (2, 1)]
+    assert sum(x * k for x, k in M._fit(lengths, 1_234_567).items()) == 1_234_563
+
+
 def test_mixture_reaches_shares(rows):
     rng = random.Random(6)
     docs = [(i, rng.choice(["big"] * 6 + ["mid", "mid", "small", "other"]), rng.choice([0, 7, 7, 7, rng.randrange(300)]), 0, 0) for i in range(4000)]
