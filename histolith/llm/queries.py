@@ -35,17 +35,33 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 # 2 ----------------------------------------------------------------------------------------------------
 
 
+#: Share of the commits, by time of ingestion, of the first change set.
+FIRST = 0.9
+
+
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "commits").select("repo", "sha", X.clean_paths(F.col("files")).alias("items"))
-    c = c.groupBy("repo", "sha").agg(F.max(F.struct(F.size("items"), F.col("items"))).alias("m"))
-    return c.select(F.col("repo").alias("grp"), F.col("m.items").alias("items"))
+    """(grp, first, late, items): paths of each commit as known from the first rows that were ingested (null: not yet known), whether rows came
+    late, and as known from all rows. Of the copies of a commit the one with the most paths counts."""
+    c = table(spark, d, "commits")
+    cut = c.agg(F.percentile_approx(F.unix_micros(F.col("ingested_at").cast("timestamp")), FIRST, 1000)).first()[0] or 0
+    late = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")) > F.lit(cut), F.lit(False))
+    c = c.select("repo", "sha", late.alias("late"), X.clean_paths(F.col("files")).alias("items"))
+    own = F.struct(F.size("items"), F.col("items"))
+    c = c.groupBy("repo", "sha").agg(F.max(F.when(~F.col("late"), own)).alias("first"), F.max("late").alias("late"), F.max(own).alias("m"))
+    return c.select(F.col("repo").alias("grp"), F.col("first.items").alias("first"), "late", F.col("m.items").alias("items"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Two merges: the first ingestions, then the late ones, which also take the first content of their commits back."""
     from histolith.llm.cooccurrence import count_pairs
 
-    t = count_pairs(_baskets(spark, d), max_items=30)
-    return t.scores(min_joint=5, min_lift=3).select(F.col("grp").alias("repo"), F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
+    known = written(_baskets(spark, d), "baskets")
+    t = count_pairs(known.where("first IS NOT NULL").select("grp", F.col("first").alias("items")), max_items=30)
+    scores = written(t.scores(min_joint=5, min_lift=3), "scores")
+    late = known.where("late")
+    t.merge(late.select("grp", "items"), late.where("first IS NOT NULL").select("grp", F.col("first").alias("items")))
+    scores = t.refreshed(scores, min_joint=5, min_lift=3)
+    return scores.select(F.col("grp").alias("repo"), F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
 
 
 # 3 ----------------------------------------------------------------------------------------------------

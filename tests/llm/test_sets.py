@@ -106,6 +106,43 @@ def test_pairs_and_increments(spark, rows):
     assert only == {k: v for k, v in scores(t).items() if k[0] == "g"}
 
 
+def test_scores_are_refreshed_where_a_merge_touched(rows):
+    old = baskets(200, 1)
+    t = count_pairs(rows(old, BASKET))
+    before = t.scores()
+    kept = before.withColumn("n", F.col("n") + 1000)  # recognisable
+    t.merge(rows([("g", ["a", "b"], 0, "x")] * 3, BASKET), rows([b for b in old if b[0] == "g"][:9], BASKET))
+    assert [r.grp for r in t.touched.collect()] == ["g"]
+    got = {(r.grp, r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in t.refreshed(kept).collect()}
+    left = list(old)
+    for b in [b for b in old if b[0] == "g"][:9]:
+        left.remove(b)
+    want = counted(left + [("g", ["a", "b"])] * 3)
+    assert {k: v for k, v in got.items() if k[0] == "g"} == {k: v for k, v in want.items() if k[0] == "g"}
+    assert {k: v for k, v in got.items() if k[0] != "g"} == {k: (*v[:3], v[3] + 1000) for k, v in want.items() if k[0] != "g"}
+
+
+def test_items_that_share_a_hash(spark, rows, monkeypatch):
+    from histolith.llm import cooccurrence as C
+
+    monkeypatch.setattr(C, "_hash", lambda salt, grp, item: F.pmod(F.xxhash64(salt, grp, item), F.lit(97)))
+    old, extra = baskets(150, 4), [("g", ["a", "z1", "z2", "b"], 0, "x"), ("k", [*"abcdefgh"], 0, "x")] * 4
+    t = count_pairs(rows(old, BASKET))
+    assert t.salted and scores(t) == counted(old)
+    t.merge(rows(extra, BASKET), rows(old[:40], BASKET))
+    assert scores(t) == counted(old[40:] + extra) == scores(PairTable.open(spark, t.path))
+
+
+def test_buckets_follow_from_the_size(rows, monkeypatch):
+    from histolith.llm import cooccurrence as C
+
+    old = baskets(100, 6)
+    assert count_pairs(rows(old, BASKET)).buckets == 1
+    monkeypatch.setattr(C, "PER_BUCKET", 100)
+    t = count_pairs(rows(old, BASKET))
+    assert t.buckets > 3 and scores(t) == counted(old)
+
+
 def test_lift_and_no_baskets(rows):
     r = count_pairs(rows([("g", ["a", "b"], 0, "")] * 3 + [("g", ["c"], 0, "")] * 3, BASKET)).scores().first()
     assert (r.lift, round(r.npmi, 9)) == (2.0, 1.0)
