@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from histolith.functions import text as X
 from histolith.model import Config
@@ -147,12 +147,14 @@ def log_numbering(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    """(repo, cluster, pos, sha): commits named by candidates, in their order."""
+    """(repo, cluster, pos, sha): commits named by candidates, in their order, numbered from 1 without gaps."""
     c = table(spark, d, "candidates").where("cand_id IS NOT NULL").select("repo", F.col("cand_id").alias("cluster"), F.posexplode("commits").alias("at", "u")).where("u IS NOT NULL")
     c = c.withColumn("u", F.lower(F.trim("u"))).where("length(u) >= 8").withColumn("head", F.substring("u", 1, 8))
     shas = table(spark, d, "commits").where("sha IS NOT NULL").select("sha").distinct().withColumn("head", F.substring("sha", 1, 8))
     hit = c.join(shas, "head").where(F.startswith("sha", "u"))
-    return hit.groupBy("repo", "cluster", "sha").agg(F.min("at").alias("pos"))
+    hit = hit.groupBy("repo", "cluster", "sha").agg(F.min("at").alias("at"))
+    place = F.row_number().over(W.partitionBy("repo", "cluster").orderBy("at", "sha"))  # commits of one row of the table
+    return hit.select("repo", "cluster", place.alias("pos"), "sha")
 
 
 def diff_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +183,7 @@ def version_bump(spark: SparkSession, d: str) -> DataFrame:
 def workaround_scan(spark: SparkSession, d: str) -> DataFrame:
     h = read_history(spark, d, lines=True)
     w = workarounds.scan_workarounds(_members(spark, d), h.plain, h.changes, h.diff_lines)
-    return w.select("cluster", "record_type", F.size("workaround_signals").cast("long").alias("signals"))
+    return w.select("cluster", "record_type", F.array_join("workaround_signals", "|").alias("signals"))
 
 
 def record_routing(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +191,7 @@ def record_routing(spark: SparkSession, d: str) -> DataFrame:
     m = _members(spark, d)
     w = workarounds.scan_workarounds(m, h.plain, h.changes, h.diff_lines)
     s = S.classify(m, h.commits, h.changes, Config(), S.pure_commits(h.changes, h.diff_lines))
-    return workarounds.route(w, s).groupBy("record_type", "classification").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("workaround_signals")).alias("signals"))
+    return workarounds.route(w, s).select("cluster", "record_type", "classification", F.array_join("workaround_signals", "|").alias("signals"))
 
 
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -301,9 +303,8 @@ def overflow_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_blocks(spark: SparkSession, d: str) -> DataFrame:
-    h = read_history(spark, d)
-    b = citations.evidence_blocks(h.plain.select("sha"), h.commits, h.changes, max_files=5)
-    return b.select("sha", F.size(F.split("block", "\n")).cast("long").alias("lines"), (F.instr("block", "more files") > 0).alias("cut"))
+    h = read_history(spark, d, lines=True)
+    return citations.evidence_blocks(h.plain.select("sha"), h.commits, h.changes, h.diff_lines).select("sha", "block")
 
 
 def queries() -> dict[str, Query]:

@@ -58,8 +58,8 @@ al AS (SELECT repo, i, j, min(key) FILTER (kind = 'file') AS f, min(key) FILTER
 re AS (SELECT repo, i, j, concat_ws('|', CASE WHEN f IS NOT NULL THEN 'file:' || f WHEN d IS NOT NULL THEN 'dir:' || d END, 'token:' || t, CASE WHEN c IS NOT NULL THEN 'coupled' END) AS reasons FROM al
  WHERE (f IS NOT NULL OR d IS NOT NULL)::INT + (t IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2)"""
 MEMBERS = """
-mb AS (SELECT c.repo, cluster, co.sha, min(nth) AS pos FROM (SELECT repo, cand_id AS cluster, unnest(commits) AS u, generate_subscripts(commits, 1) - 1 AS nth FROM candidates) c
- JOIN co ON length(trim(u)) >= 8 AND left(co.sha, 8) = left(lower(trim(u)), 8) AND starts_with(co.sha, lower(trim(u))) GROUP BY ALL)"""
+mb AS (SELECT repo, cluster, sha, row_number() OVER (PARTITION BY repo, cluster ORDER BY nth, sha) AS pos FROM (SELECT c.repo, cluster, co.sha, min(nth) AS nth FROM (SELECT repo, cand_id AS cluster, unnest(commits) AS u, generate_subscripts(commits, 1) AS nth FROM candidates) c
+ JOIN co ON length(trim(u)) >= 8 AND left(co.sha, 8) = left(lower(trim(u)), 8) AND starts_with(co.sha, lower(trim(u))) GROUP BY ALL))"""
 CHANGED = "mc AS (SELECT m.repo, m.cluster, m.pos, ch.* EXCLUDE (repo) FROM (SELECT * FROM mb) m JOIN ch USING (sha))"
 
 
@@ -88,12 +88,13 @@ cl AS (SELECT repo, cluster, CASE WHEN force LIKE 'FORCE_I%' THEN greatest(raw,
  CASE WHEN breadth THEN '>5 files across >=2 dirs' END, CASE WHEN gone AND came THEN 'file deleted with correlated addition (replacement pattern)' WHEN gone THEN 'file deleted (no replacement — likely dead code)' END,
  CASE WHEN verb THEN 'message: migrate/replace/adopt verb' END, CASE WHEN dm THEN 'message demote: fix/chore/style/bump' END, CASE WHEN ex THEN 'message demote: test/docs/lint' END, force) AS signals FROM sy)"""
 MARK = lambda c: f"({_like(c, V.WORKAROUND_MARK)} OR {_like(c, V.WORKAROUND_UNTIL)})"
-# no candidate here has 20 commits or 4000 lines, so the bounds of the scan don't bind
+# the first twenty commits; no candidate here has 4000 lines
 SCANNED = f"""
-wa AS (SELECT mb.repo, mb.cluster, max({MARK('subject')}::INT) AS worded FROM mb JOIN pl USING (sha) GROUP BY ALL),
-wb AS (SELECT repo, cluster, max((left(status, 1) IN ('A', 'R', 'C') AND {_like('path', V.WORKAROUND_FILE)})::INT) AS shaped FROM mc GROUP BY ALL),
-wc AS (SELECT mb.repo, cluster, count(DISTINCT sha) AS found FROM mb JOIN dl USING (sha) WHERE sign = '+' AND {MARK("coalesce(content, '')")} GROUP BY ALL),
-ws AS (SELECT m.repo, m.cluster, CASE WHEN coalesce(shaped, 0) + coalesce(found, 0) > 0 THEN 'workaround' ELSE 'decision' END AS record_type, coalesce(worded, 0) + coalesce(shaped, 0) + coalesce(found, 0) AS signals
+wa AS (SELECT mb.repo, mb.cluster, arg_min('workaround wording in message (' || left(sha, 7) || ')', pos) AS worded FROM mb JOIN pl USING (sha) WHERE {MARK('subject')} GROUP BY ALL),
+wb AS (SELECT repo, cluster, arg_min('workaround-shaped file added: ' || path, (pos, ord, path)) AS shaped FROM mc WHERE left(status, 1) IN ('A', 'R', 'C') AND {_like('path', V.WORKAROUND_FILE)} GROUP BY ALL),
+wl AS (SELECT mb.repo, cluster, pos, sha, arg_min(content, (path, ord, content)) AS line FROM mb JOIN dl USING (sha) WHERE pos <= 20 AND sign = '+' AND {MARK("coalesce(content, '')")} GROUP BY ALL),
+wc AS (SELECT repo, cluster, string_agg('workaround marker added (' || left(sha, 7) || '): ' || chr(39) || left(trim(line, ' '), 80) || chr(39), '|' ORDER BY pos) AS found FROM wl GROUP BY ALL),
+ws AS (SELECT m.repo, m.cluster, CASE WHEN shaped IS NOT NULL OR found IS NOT NULL THEN 'workaround' ELSE 'decision' END AS record_type, concat_ws('|', worded, shaped, found) AS signals
  FROM (SELECT DISTINCT repo, cluster FROM mb) m LEFT JOIN wa USING (repo, cluster) LEFT JOIN wb USING (repo, cluster) LEFT JOIN wc USING (repo, cluster))"""
 CITED = "ci AS (SELECT sha AS path, left(status, 1) AS l, count(*) AS n FROM ch GROUP BY ALL)"
 
@@ -136,8 +137,8 @@ SELECT cluster, commits, subjects, coalesce(files, '') AS files, coalesce(top_di
         "classify_candidates": f"WITH {BASE}, {LINES}, {MEMBERS}, {CHANGED}, {BUMPS}, {CLASSIFIED} SELECT cluster, score, classification, signals FROM cl",
         "version_bump": f"WITH {BASE}, {LINES}, {BUMPS} SELECT sha, path, pure FROM vb",
         "workaround_scan": f"WITH {BASE}, {LINES}, {MEMBERS}, {CHANGED}, {SCANNED} SELECT cluster, record_type, signals FROM ws",
-        "record_routing": f"""WITH {BASE}, {LINES}, {MEMBERS}, {CHANGED}, {BUMPS}, {CLASSIFIED}, {SCANNED}
-SELECT CASE WHEN record_type = 'workaround' AND classification = 'architectural' THEN 'decision' ELSE record_type END AS record_type, classification, count(*) AS n, sum(ws.signals + (record_type = 'workaround' AND classification = 'architectural')::INT)::BIGINT AS signals FROM ws JOIN cl USING (repo, cluster) GROUP BY ALL""",
+        "record_routing": f"""WITH {BASE}, {LINES}, {MEMBERS}, {CHANGED}, {BUMPS}, {CLASSIFIED}, {SCANNED}, b AS (SELECT cluster, record_type, classification, ws.signals AS ws_signals, record_type = 'workaround' AND classification = 'architectural' AS twice FROM ws JOIN cl USING (repo, cluster))
+SELECT cluster, CASE WHEN twice THEN 'decision' ELSE record_type END AS record_type, classification, CASE WHEN twice THEN concat_ws('|', 'WORKAROUND: markers present — note them inside the ADR', ws_signals) ELSE ws_signals END AS signals FROM b""",
         "precision_recall": f"""WITH {BASE}, {LINES}, {MEMBERS}, {CHANGED}, {BUMPS}, {CLASSIFIED}, sd AS (SELECT cand_id AS cluster, max(classification) AS said FROM candidates GROUP BY ALL),
 k AS (SELECT count(*) FILTER (classification = 'architectural' AND said = 'architectural') AS tp, count(*) FILTER (classification = 'architectural' AND said <> 'architectural') AS fp, count(*) FILTER (classification <> 'architectural' AND said = 'architectural') AS fn FROM cl JOIN sd USING (cluster)),
 r AS (SELECT *, {agree.format(x='fp')} AS p, {agree.format(x='fn')} AS r FROM k) SELECT tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM r""",
@@ -149,9 +150,9 @@ SELECT cand_id, count(DISTINCT sha) AS n FROM u JOIN s ON left(u, 7) = left(sha,
 t AS (SELECT lower(regexp_extract(fm, '(?m)^type:\s*([\w-]+)\s*$', 1)) AS t, lower(regexp_extract(fm, '(?m)^status:\s*([\w-]+)\s*$', 1)) AS s FROM f)
 SELECT CASE WHEN t IN ('madr', 'workaround') THEN t ELSE 'madr' END AS record_type, CASE WHEN s = '' THEN 'active' ELSE s END AS status, count(*) AS n FROM t GROUP BY ALL""",
         "workaround_lifecycle": f"""WITH {BASE}, {LINES}, mk AS (SELECT sha, arg_min(trim(content, ' '), (path, ord)) AS mark FROM dl WHERE sign = '+' AND length(trim(content, ' ')) >= 12 AND NOT contains(content, '-->') AND NOT contains(content, '"') AND NOT contains(content, '''') GROUP BY sha),
-lf AS (SELECT DISTINCT content FROM dl WHERE sign = '+' AND path LIKE 'src/%' AND NOT lower(path) LIKE '%.md' AND content NOT IN (SELECT content FROM dl WHERE sign = '-' AND content IS NOT NULL)),
-md AS (SELECT DISTINCT mark FROM mk WHERE length(mark) <= 60), th AS (SELECT DISTINCT mark FROM md JOIN lf ON contains(content, mark))
-SELECT sha AS path, 'active' AS status, (th.mark IS NULL)::BIGINT AS findings FROM mk LEFT JOIN th USING (mark) WHERE length(mk.mark) <= 60""",
+lf AS (SELECT DISTINCT content FROM dl WHERE sign = '+' AND NOT lower(path) LIKE '%.md' AND content NOT IN (SELECT content FROM dl WHERE sign = '-' AND content IS NOT NULL)),
+md AS (SELECT DISTINCT mark FROM mk), th AS (SELECT DISTINCT mark FROM md JOIN lf ON contains(content, mark))
+SELECT sha AS path, 'active' AS status, (th.mark IS NULL)::BIGINT AS findings FROM mk LEFT JOIN th USING (mark)""",
         "majority_vote": """WITH v AS (SELECT user_id AS id, event_type AS overall, count(*) AS votes, min(event_id) AS f FROM events WHERE event_type <> 'view' GROUP BY ALL),
 b AS (SELECT *, sum(votes) OVER (PARTITION BY id) AS cast_votes FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, f) = 1), a AS (SELECT user_id AS id, count(*) AS runs FROM events GROUP BY ALL)
 SELECT id, coalesce(overall, 'fail') AS overall, runs, coalesce(votes, 0) AS votes, round(coalesce(votes / cast_votes, 0), 9) AS agreement FROM a LEFT JOIN b USING (id)""",
@@ -159,5 +160,9 @@ SELECT id, coalesce(overall, 'fail') AS overall, runs, coalesce(votes, 0) AS vot
 SELECT DISTINCT least(path, t) AS src, greatest(path, t) AS dst FROM f WHERE t IN (SELECT path FROM f)""",
         "next_record_number": rf"""WITH {BASE}, n AS (SELECT repo, regexp_extract(regexp_extract(path, '[^/]*$'), '^(\d{{4}})-.*\.md$', 1) AS n FROM ch) SELECT repo, coalesce(max(try_cast(n AS INT)), 0)::BIGINT + 1 AS next FROM n GROUP BY repo""",
         "overflow_lists": f"WITH {BASE}, s AS (SELECT sha, list_sort(list(DISTINCT path)) AS p FROM ch GROUP BY sha) SELECT sha, {_capped('p', 8)} AS files FROM s",
-        "evidence_blocks": f"WITH {BASE}, n AS (SELECT sha, count(*) AS n FROM ch GROUP BY sha) SELECT pl.sha, 1 + least(coalesce(n, 0), 5) + (coalesce(n, 0) > 5)::INT AS lines, coalesce(n, 0) > 5 AS cut FROM pl LEFT JOIN n USING (sha)",
+        "evidence_blocks": f"""WITH {BASE}, {LINES},
+f AS (SELECT sha, count(*) AS n, string_agg('  ' || concat_ws(chr(9), status, old_path, path), chr(10) ORDER BY ord, path) FILTER (rn <= 40) AS t FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY ord, path) AS rn FROM ch) GROUP BY sha),
+p AS (SELECT sha, count(*) AS n, string_agg('  ' || sign || coalesce(content, ''), chr(10) ORDER BY path, ord) FILTER (rn <= 200) AS t FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY path, ord) AS rn FROM dl) GROUP BY sha)
+SELECT pl.sha, concat_ws(chr(10), 'commit ' || pl.sha || ' ' || subject, f.t, CASE WHEN f.n > 40 THEN '  ... (' || (f.n - 40) || ' more files)' END, CASE WHEN p.n > 0 THEN '  --- diff ---' END, p.t, CASE WHEN p.n > 200 THEN '  ... (' || (p.n - 200) || ' more diff lines)' END) AS block
+FROM pl LEFT JOIN f USING (sha) LEFT JOIN p USING (sha)""",
     }

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from histolith.operators import citations as C, votes
 from histolith.operators.imports import import_edges
-from histolith.operators.render import rendered
+from histolith.operators.render import render
 from histolith.operators.tags import check_syntax, tag_report
 
 SHA = "abcdef1234567890abcdef1234567890abcdef12"
@@ -88,12 +88,21 @@ def test_texts_in_lines(rows):
     assert {r.detail for r in got.collect()} == {"ab", "a longer text", "longer text, é"}
 
 
-def test_rendering_is_idempotent():
-    once = rendered(ADR, "madr", ["Redis <!-- x -->"], 2, False, "m", "2024-01-01")
-    assert once == rendered(once, "madr", ["Redis <!-- x -->"], 2, False, "m", "2024-01-01")
-    assert "- Redis <!-- x -->" in once and "Plain" not in once and "options-dropped: 2" in once and "\n\n\n" not in once
-    assert "No alternatives recorded" in rendered(ADR, "madr", [], 7, True, "m", "d")
-    assert rendered("# bare", "madr", [], 0, False, "m", "d").endswith("# bare")
+def test_rendering_is_idempotent(rows):
+    def rendered(text, kept, dropped, scoped=False, kind="madr"):
+        v = rows([("p", n, k, "verified") for n, k in enumerate(kept)] + [("p", 90 + n, "x", "failed") for n in range(dropped)], "path string, ord int, raw string, status string")
+        return render(rows([("p", text)], "path string, text string"), v, rows([("p", kind, scoped)], "path string, record_type string, scoped boolean"), "m", "2024-01-01").first().text
+
+    once = rendered(ADR, ["Redis <!-- x -->"], 2)
+    assert once == rendered(once, ["Redis <!-- x -->"], 2)
+    assert once.startswith("---\ngeneration:\n  method: m\n") and once.endswith("- Redis <!-- x -->\n\n## Links\n")
+    assert "Plain" not in once and "options-dropped: 2" in once and "\n\n\n" not in once and "unscoped" in once
+    assert "No alternatives recorded" in rendered(ADR, [], 7, True) and "unscoped" not in rendered(ADR, [], 7, True)
+    assert rendered("# bare", [], 0).endswith("---\n\n# bare")
+    own = "---\ntype: workaround\ngeneration:\n  method: old\n\n  more: x\nstatus: active\n---\n\n## Evidence\n- a\n- b\n"
+    got = rendered(own, ["b"], 1, kind="workaround")
+    assert got.startswith("---\ntype: workaround\nstatus: active\ngeneration:\n  method: m\n") and got.count("generation:") == 1 and "more" not in got
+    assert got.endswith("---\n\n## Evidence\n\n- b\n\n")
 
 
 def test_votes(rows):
