@@ -86,8 +86,10 @@ def verify(cited: DataFrame, commits: DataFrame, changes: DataFrame, diff_lines:
     inside = F.col("scope").isNull() | F.exists("scope", lambda s: X.sha_match(F.col("sha"), s))
     known = commits.select(F.col("sha").alias("full"), F.concat_ws("\n\n", "subject", "body").alias("message"))
     prefix = lambda x: F.substring(F.lower(x), 1, 7)
+    # each read by three proofs and the result, so written once
     hit = c.where("sha IS NOT NULL").select("key", "sha", "etype", "detail").join(known.withColumn("p", prefix(F.col("full"))), F.col("p") == prefix(F.col("sha"))).where(F.startswith(F.lower("full"), F.lower("sha")))
     one = hit.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full"), F.min("etype").alias("etype"), F.min("detail").alias("detail"), F.min("message").alias("message")).where("n = 1").drop("n")
+    one = written(one, "found")
     said = one.where(F.col("etype") == "message").where(F.contains(F.lower("message"), F.lower("detail"))).select("key")
     path = one.where(F.col("etype").isin("deleted", "added", "renamed")).join(changes.select(F.col("sha").alias("full"), F.upper(F.substring("status", 1, 1)).alias("letter"), F.col("path").alias("p"), "old_path"), "full")
     letter = F.create_map(*[F.lit(x) for x in ("deleted", "D", "added", "A", "renamed", "R")])

@@ -218,14 +218,30 @@ def split_oversized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
-    """A record for every commit with changes: each change is cited as a deletion, and as what it was."""
+    """Records of every commit: one cites each change as a deletion, and as what it was; one (``:said``) cites its message, a removed and an added
+    line, and for every other commit also what isn't so, a type that can't be checked and a commit out of scope; one (``:free``) without links
+    cites a commit that doesn't exist."""
     h = read_history(spark, d, lines=True)
     word = F.create_map(*[F.lit(x) for x in ("D", "deleted", "A", "added", "R", "renamed")])[F.substring("status", 1, 1)]
     cite = lambda kind: F.concat(F.lit("- **"), "path", F.lit("** <!-- evidence: "), F.substring("sha", 1, 12), F.lit(" "), kind, F.lit(":"), "path", F.lit(" -->"))
     lines = F.concat_ws("\n", cite(F.lit("deleted")), F.when(word.isNotNull(), cite(word)), F.concat(F.lit("- *"), "path", F.lit("*")))
     body = h.changes.select("sha", "path", lines.alias("l")).groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("path", "l"))).alias("x"))
     text = F.concat(F.lit("---\ntype: madr\n---\n# Choice\n\n## Considered Options\n\n"), F.array_join("x.l", "\n"), F.lit("\n\n## Links\n- Commits: "), F.substring("sha", 1, 10), F.lit("\n"))
-    return body.select(F.col("sha").alias("path"), text.alias("text")), h
+    changed = body.select(F.col("sha").alias("path"), text.alias("text"))
+    clean = h.diff_lines.where("length(trim(content)) >= 12 AND NOT contains(content, '-->') AND NOT contains(content, '\"') AND NOT contains(content, \"'\")")
+    line = lambda sign, name: F.min_by(F.when(F.col("sign") == sign, F.trim("content")), F.when(F.col("sign") == sign, F.struct("path", "ord"))).alias(name)
+    c = h.commits.join(clean.groupBy("sha").agg(line("-", "gone"), line("+", "came")), "sha", "left")
+    word, even = F.regexp_extract("subject", "[A-Za-z]{3,}", 0), F.col("log_pos") % 2 == 0
+    own = lambda what, kind: F.concat(F.lit("- it <!-- evidence: "), F.substring("sha", 1, 12), F.lit(f" {kind}:"), what, F.lit(" -->"))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    rows = [
+        F.when(word != "", own(word, "message")), own(quoted(F.col("gone")), "removed"), own(quoted(F.col("came")), "marker"),
+        F.when(even, own(F.lit("qqzzqq"), "message")), F.when(even, own(F.lit("x"), "feeling")), F.when(even, F.lit("- it <!-- evidence: 0000000 message:x -->")),
+    ]
+    said = F.concat(F.lit("# Choice\n\n## Considered Options\n\n"), F.concat_ws("\n", *rows), F.lit("\n\n## Links\n- Commits: "), F.substring("sha", 1, 10), F.lit("\n"))
+    said = c.select(F.concat("sha", F.lit(":said")).alias("path"), said.alias("text"))
+    free = c.select(F.concat("sha", F.lit(":free")).alias("path"), F.lit("## Considered Options\n- it <!-- evidence: 0000000 message:x -->\n").alias("text"))
+    return changed.unionByName(said).unionByName(free), h
 
 
 def _verified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

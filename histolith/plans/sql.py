@@ -96,7 +96,12 @@ wl AS (SELECT mb.repo, cluster, pos, sha, arg_min(content, (path, ord, content))
 wc AS (SELECT repo, cluster, string_agg('workaround marker added (' || left(sha, 7) || '): ' || chr(39) || left(trim(line, ' '), 80) || chr(39), '|' ORDER BY pos) AS found FROM wl GROUP BY ALL),
 ws AS (SELECT m.repo, m.cluster, CASE WHEN shaped IS NOT NULL OR found IS NOT NULL THEN 'workaround' ELSE 'decision' END AS record_type, concat_ws('|', worded, shaped, found) AS signals
  FROM (SELECT DISTINCT repo, cluster FROM mb) m LEFT JOIN wa USING (repo, cluster) LEFT JOIN wb USING (repo, cluster) LEFT JOIN wc USING (repo, cluster))"""
-CITED = "ci AS (SELECT sha AS path, left(status, 1) AS l, count(*) AS n FROM ch GROUP BY ALL)"
+CITED = """ci AS (SELECT sha AS path, left(status, 1) AS l, count(*) AS n FROM ch GROUP BY ALL),
+cl AS (SELECT sha, count(*) FILTER (sign = '-') > 0 AS gone, count(*) FILTER (sign = '+') > 0 AS came FROM dl WHERE length(trim(content, ' ')) >= 12 AND NOT contains(content, '-->') AND NOT contains(content, '"') AND NOT contains(content, chr(39)) GROUP BY sha),
+sa AS (SELECT sha, log_pos % 2 = 0 AS even, regexp_matches(subject, '[A-Za-z]{3,}')::INT + coalesce(gone, false)::INT + coalesce(came, false)::INT AS good FROM co LEFT JOIN cl USING (sha)),
+cs AS (SELECT path, CASE l WHEN 'D' THEN 'verified' ELSE 'failed' END AS status, n FROM ci UNION ALL SELECT path, 'verified', n FROM ci WHERE l IN ('D', 'A', 'R') UNION ALL SELECT path, 'uncited', n FROM ci
+ UNION ALL SELECT sha || ':said', 'verified', good FROM sa WHERE good > 0 UNION ALL SELECT sha || ':said', 'failed', 2 FROM sa WHERE even UNION ALL SELECT sha || ':said', 'uncheckable', 1 FROM sa WHERE even UNION ALL SELECT sha || ':free', 'failed', 1 FROM sa),
+cr AS (SELECT DISTINCT path FROM ci UNION ALL SELECT sha || ':said' FROM sa UNION ALL SELECT sha || ':free' FROM sa)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -142,8 +147,9 @@ SELECT cluster, CASE WHEN twice THEN 'decision' ELSE record_type END AS record_t
         "precision_recall": f"""WITH {BASE}, {LINES}, {MEMBERS}, {CHANGED}, {BUMPS}, {CLASSIFIED}, sd AS (SELECT cand_id AS cluster, max(classification) AS said FROM candidates GROUP BY ALL),
 k AS (SELECT count(*) FILTER (classification = 'architectural' AND said = 'architectural') AS tp, count(*) FILTER (classification = 'architectural' AND said <> 'architectural') AS fp, count(*) FILTER (classification <> 'architectural' AND said = 'architectural') AS fn FROM cl JOIN sd USING (cluster)),
 r AS (SELECT *, {agree.format(x='fp')} AS p, {agree.format(x='fn')} AS r FROM k) SELECT tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM r""",
-        "citation_verify": f"""WITH {BASE}, {CITED} SELECT path, status, sum(n)::BIGINT AS n FROM (SELECT path, CASE l WHEN 'D' THEN 'verified' ELSE 'failed' END AS status, n FROM ci UNION ALL SELECT path, 'verified', n FROM ci WHERE l IN ('D', 'A', 'R') UNION ALL SELECT path, 'uncited', n FROM ci) GROUP BY ALL""",
-        "verify_rollup": f"""WITH {BASE}, {CITED} SELECT path, sum(CASE l WHEN 'D' THEN 2 * n WHEN 'A' THEN n WHEN 'R' THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE l WHEN 'D' THEN n ELSE 2 * n END)::BIGINT AS dropped, 'fail' AS overall FROM ci GROUP BY path""",
+        "citation_verify": f"""WITH {BASE}, {LINES}, {CITED} SELECT path, status, sum(n)::BIGINT AS n FROM cs GROUP BY ALL""",
+        "verify_rollup": f"""WITH {BASE}, {LINES}, {CITED} SELECT path, coalesce(kept, 0)::BIGINT AS kept, coalesce(dropped, 0)::BIGINT AS dropped, CASE WHEN coalesce(dropped, 0) = 0 THEN 'pass' ELSE 'fail' END AS overall
+FROM cr LEFT JOIN (SELECT path, sum(n) FILTER (status = 'verified') AS kept, sum(n) FILTER (status <> 'verified') AS dropped FROM cs GROUP BY path) USING (path)""",
         "sha_prefix_scope": """WITH u AS (SELECT DISTINCT cand_id, lower(trim(x)) AS u FROM (SELECT cand_id, unnest(commits) AS x FROM candidates)), s AS (SELECT DISTINCT sha FROM commits)
 SELECT cand_id, count(DISTINCT sha) AS n FROM u JOIN s ON left(u, 7) = left(sha, 7) AND length(u) >= 7 AND (starts_with(u, sha) OR starts_with(sha, u)) GROUP BY ALL""",
         "record_types": r"""WITH f AS (SELECT CASE WHEN starts_with(text, e'---\n') AND strpos(substr(text, 5), e'\n---') > 0 THEN substr(text, 5, strpos(substr(text, 5), e'\n---') - 1) ELSE '' END AS fm FROM documents WHERE text IS NOT NULL),
