@@ -3,8 +3,8 @@
 1. *Dictionary*: the distinct ``(kind, term)`` get integers. A partition of the dictionary numbers its
    terms in a row, ``partition << 33 | position``, so ranges of integers are dense.
 2. *Encode*: every task reduces the records of an Arrow batch to ``(term, occurrences, records)`` with
-   C++ dictionary encoding, so that a term which fills a third of all rows leaves a task as one row a
-   batch; the reduced rows are then joined with the dictionary.
+   C++ dictionary encoding, and the batches of a task are combined before the shuffle, so that a term which fills a third of
+   all rows leaves a task as one row; the reduced rows are then joined with the dictionary.
 3. *Blocks*: encoded counts are accumulated into count arrays, one per block of ``BLOCK`` integers.
 4. *Sum by range*: the arrays of a block are added; a position of the sum is the count of one term.
 
@@ -97,11 +97,13 @@ def term_frequencies(records: DataFrame) -> DataFrame:
     once = written(once.select("kind", F.coalesce(F.col("m.terms"), F.array().cast("array<string>")).alias("terms")), "records")
     totals = once.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
     reduced = once.where(F.size("terms") > 0).select("kind", F.filter("terms", lambda t: t.isNotNull()).alias("terms")).mapInArrow(_reduce, "kind string, term string, occurrences long, records long")
+    # combined in the task before the shuffle, which is that of the join as well
+    reduced = reduced.groupBy("kind", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     dictionary = written(once.select("kind", F.explode("terms").alias("term")).where("term IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
     encoded = reduced.join(dictionary, ["kind", "term"]).select("id", "occurrences", "records")
     blocks = encoded.mapInArrow(_blocks, "block long, at array<int>, occurrences array<long>, records array<long>")
     sums = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "id long, occurrences long, records long")
-    return sums.join(dictionary, "id").join(F.broadcast(totals), "kind").select("kind", "term", "occurrences", "records", "total")
+    return sums.join(dictionary, "id").join(totals, "kind").select("kind", "term", "occurrences", "records", "total")
 
 
 def marks(frequencies: DataFrame, common_above: int = 3, common_share: int = 50) -> DataFrame:
