@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 from histolith.session import forget, written
 
 
+#: Rounds that are expanded in one plan.
+EXPAND = 3
+
+
 def connected_groups(edges: DataFrame, seed: int = 7, max_rounds: int = 200) -> DataFrame:
     """``edges(a, b)`` of one type to ``(id, grp)``: every vertex and the smallest vertex of its group.
 
@@ -42,9 +46,11 @@ def connected_groups(edges: DataFrame, seed: int = 7, max_rounds: int = 200) ->
         return loops.distinct().select("id", F.col("id").alias("grp"))
     # expand: the label of a vertex of round k is the label that its hook has in round k + 1
     labels = steps[-1].select("id", F.col("to").alias("label"))
-    for step in reversed(steps[:-1]):
+    for n, step in enumerate(reversed(steps[:-1]), 1):
         nxt = labels.select(F.col("id").alias("to"), "label")
         labels = step.join(nxt, "to", "left").select("id", F.coalesce("label", "to").alias("label"))
+        if n % EXPAND == 0:  # a short plan, and sizes that the planner knows
+            labels = written(labels, "labels")
     labels = written(labels.unionByName(loops.distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))), "labels")
     smallest = labels.groupBy("label").agg(F.min("id").alias("grp"))
     return labels.join(smallest, "label").select("id", "grp")
