@@ -26,7 +26,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """First and last commit of each frequent path, and no path's rows in one task."""
     commits = table(spark, d, "commits").where("sha IS NOT NULL").groupBy("sha").agg(F.max("author_date").alias("at"))
     changes = table(spark, d, "changes").where("path IS NOT NULL").select("sha", X.clean_path(F.col("path")).alias("key"))
-    rows = changes.join(commits, "sha").select("key", "at", F.col("sha").alias("id"))
+    rows = written(changes.join(commits, "sha").select("key", "at", F.col("sha").alias("id")), "rows")  # read three times
     known = rows.select("id").distinct().count()
     out = first_last_per_key(rows).where((F.col("n") >= 5) & (F.col("n") * 100 >= known))
     return out.select(F.col("key").alias("path"), F.col("first_id").alias("first_sha"), F.col("last_id").alias("last_sha"))
