@@ -104,6 +104,15 @@ cs AS (SELECT path, CASE l WHEN 'D' THEN 'verified' ELSE 'failed' END AS status,
 cr AS (SELECT DISTINCT path FROM ci UNION ALL SELECT sha || ':said' FROM sa UNION ALL SELECT sha || ':free' FROM sa)"""
 
 
+RANGES = """
+mg AS (SELECT repo, sha AS merge_sha, date AS merge_date, parents FROM co WHERE len(parents) > 1),
+pa AS (SELECT x.sha, p FROM (SELECT sha, unnest(parents) AS p FROM co) x SEMI JOIN co ON co.sha = p),
+rc AS (SELECT merge_sha, side, p AS sha FROM (SELECT merge_sha, unnest(parents) AS p, generate_subscripts(parents, 1) AS side FROM mg) SEMI JOIN co ON co.sha = p UNION SELECT rc.merge_sha, side, p FROM rc JOIN pa ON pa.sha = rc.sha),
+bs AS (SELECT a.merge_sha, arg_min(a.sha, log_pos) AS base_sha FROM rc a JOIN rc b ON a.merge_sha = b.merge_sha AND a.sha = b.sha AND a.side = 1 AND b.side = 2 JOIN co ON co.sha = a.sha GROUP BY a.merge_sha),
+bb AS (SELECT merge_sha, base_sha AS sha FROM bs UNION SELECT bb.merge_sha, p FROM bb JOIN pa ON pa.sha = bb.sha),
+rg AS (SELECT mg.repo, merge_sha, base_sha, merge_date, sha FROM (SELECT DISTINCT merge_sha, sha FROM rc) SEMI JOIN pl USING (sha) ANTI JOIN bb USING (merge_sha, sha) JOIN mg USING (merge_sha) LEFT JOIN bs USING (merge_sha))"""
+
+
 def oracle_sql() -> dict[str, str]:
     agree = "CASE WHEN tp + {x} > 0 THEN tp / (tp + {x}) ELSE 0 END"
     return {
@@ -128,6 +137,11 @@ SELECT repo, count(*) AS pairs, sum(file)::BIGINT AS file, sum(token)::BIGINT AS
 lb AS (SELECT s AS ent, s AS root FROM ed UNION SELECT ed.t, lb.root FROM lb JOIN ed ON ed.s = lb.ent WHERE ed.t > lb.root) SELECT ent, min(root) AS root FROM lb GROUP BY ent""",
         "strategy_detect": f"""WITH {BASE}, n AS (SELECT repo, count(*) FILTER (len(parents) > 1) AS merges, count(*) FILTER (coalesce(len(parents), 0) <= 1 AND {_like('subject', V.PR_REF)}) AS squashes FROM co GROUP BY repo)
 SELECT *, CASE WHEN merges >= 3 AND squashes > 0 THEN 'mixed' WHEN merges >= 3 THEN 'merge-boundary' WHEN squashes > 0 THEN 'squash-boundary' ELSE 'direct-commit' END AS strategy FROM n""",
+        "merge_range_commits": f"WITH RECURSIVE {BASE}, {RANGES} SELECT * FROM rg",
+        "first_merge_wins": f"WITH RECURSIVE {BASE}, {RANGES} SELECT repo, sha, merge_sha FROM rg QUALIFY row_number() OVER (PARTITION BY repo, sha ORDER BY merge_date NULLS LAST, merge_sha) = 1",
+        "verdict_recovery": r"""WITH t AS (SELECT regexp_extract(coalesce(props, 'none'), '(?s)(\{.*\})', 1) AS j FROM events),
+v AS (SELECT CASE WHEN j <> '' AND json_valid(j) THEN CASE WHEN json_extract_string(j, '$.overall') IN ('pass', 'fail') THEN json_extract_string(j, '$.overall') WHEN len(list_filter(json_extract_string(j, '$.options[*].verdict'), lambda x: x IS DISTINCT FROM 'evidenced')) > 0 THEN 'fail' ELSE 'pass' END ELSE 'abstained' END AS overall FROM t)
+SELECT overall, count(*) AS n FROM v GROUP BY overall""",
         "leftover_anti": f"WITH {BASE}, {MEMBERS} SELECT repo, count(*) AS n FROM pl ANTI JOIN mb USING (sha) GROUP BY repo",
         "squash_chunks": f"""WITH {BASE} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY log_pos, sha) AS chunk, 1::BIGINT AS pos, sha, CASE WHEN len(parents) > 0 THEN sha || '^' ELSE '{V.EMPTY_TREE}' END AS base, sha AS head FROM pl""",
         "log_numbering": f"WITH {BASE} SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY date NULLS LAST, sha) AS n FROM co",
