@@ -51,6 +51,12 @@ def split_shas(spec: Column) -> Column:
     return F.filter(F.split(F.trim(spec), r"[,\s]+"), lambda s: s != "")
 
 
+def options(text: Column) -> Column:
+    """The bullets of the considered options, as they stand; none where the section says that nothing was recorded."""
+    body = section(text, SECTIONS["madr"])
+    return F.when(body.rlike(NOTHING), F.array().cast("array<string>")).otherwise(F.transform(F.regexp_extract_all(body, F.lit(BULLET), F.lit(1)), F.trim))
+
+
 def citations(records: DataFrame) -> DataFrame:
     """``records(path, text)`` to one row per bullet of the section that can be verified: ``(path, ord, record_type, status, option, raw,
     sha, etype, detail, has_bullets_and_no_alt)``; sha is null for a bullet without citation. Where the section says that

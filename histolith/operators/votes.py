@@ -30,14 +30,16 @@ def majority(runs: DataFrame) -> DataFrame:
 
 
 def judge(spark: SparkSession, options: list[str], evidence: str, runner: Callable[[str], str], runs: int = 3) -> dict:
-    """Verdict on one list of options by an injected runner; without options there is nothing to judge and it passes."""
+    """Verdict on one list of options by an injected runner, with the options as the first run of the winning verdict judged them; without
+    options there is nothing to judge and it passes."""
     if not options:
-        return {"overall": "pass", "runs": 0, "agreement": 1.0}
+        return {"overall": "pass", "runs": 0, "agreement": 1.0, "options": []}
     prompt = "Which options does the evidence support? Answer in JSON: overall (pass or fail), options (option, verdict evidenced or unevidenced, evidence).\n\nOptions:\n" + "\n".join(f"- {o}" for o in options) + f"\n\nEvidence:\n{evidence}"
     raw = [(0, k, runner(prompt)) for k in range(max(1, runs))]
-    df = spark.createDataFrame(raw, "id int, run int, raw string").select("id", "run", parsed(F.col("raw"))["overall"].alias("overall"))
+    df = spark.createDataFrame(raw, "id int, run int, raw string").select("id", "run", parsed(F.col("raw")).alias("v")).select("id", "run", "v.overall", "v.options")
     row = majority(df).first()
-    return {"overall": row.overall, "runs": row.runs, "agreement": row.agreement}
+    said = df.where(F.col("overall") == row.overall).orderBy("run").first()
+    return {"overall": row.overall, "runs": row.runs, "agreement": row.agreement, "options": [o.asDict() for o in said.options] if said else []}
 
 
 def precision_recall(labelled: DataFrame) -> DataFrame:

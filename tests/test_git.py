@@ -1,3 +1,4 @@
+import json
 import os
 import shutil
 import subprocess
@@ -113,3 +114,40 @@ def test_records_in_the_tree(spark, repo):
     tree = gitlog.read(spark, "worktree", {"r": repo.path}).select("path", "line")
     assert [len(r.findings) for r in citations.lifecycle(found, tree).collect()] == [1]
     assert gitlog.next_record_number(repo.path, "docs/decisions") == 8
+
+
+def test_commands(spark, repo, capsys, tmp_path_factory):
+    from histolith.__main__ import main
+
+    sha = repo.commit("use x instead of y", **{"src__a.py": "# HACK: y\n"})
+    away = tmp_path_factory.mktemp("away")
+    record = away / "r.md"
+    record.write_text(f"## Considered Options\n- y <!-- evidence: {sha[:9]} added:src/a.py -->\n")
+    runner = away / "run.sh"
+    runner.write_text('#!/bin/sh\ncat > /dev/null\necho \'so {"options": [{"option": "y", "verdict": "evidenced", "evidence": "e"}]} there\'\n')
+    lookup = away / "state.sh"
+    lookup.write_text("#!/bin/sh\necho closed\n")
+    for f in (runner, lookup):
+        f.chmod(0o755)
+
+    def run(*args):
+        code = main([str(a) for a in args])
+        got = capsys.readouterr()
+        return code, got.out, got.err
+
+    code, out, err = run("verify", record, "--repo", repo.path, "--json")
+    assert code == 0 and json.loads(out)[0]["verdicts"][0]["status"] == "verified" and "citations verified unscoped" in err
+    code, out, err = run("verify", record, "--repo", repo.path, "--commits", sha)
+    assert code == 0 and "unscoped" not in err and "kept: 1" in out
+    assert run("verify", record, "--repo", repo.path, "--commits", "f" * 40)[0] == 1
+    code, out, _ = run("judge-options", record, "--repo", repo.path, "--commits", sha, "--runner", runner, "--runs", 2, "--json")
+    verdict = json.loads(out)
+    assert code == 0 and verdict["overall"] == "pass" and verdict["runs"] == 2 and verdict["options"][0]["verdict"] == "evidenced"
+    assert run("judge-options", record, "--runner", "false")[0] == 1
+    url = "https://github.com/o/p/issues/7"
+    repo.commit("w", **{"docs__decisions__0001-x.md": f'---\ntype: workaround\n---\n## Evidence\n- x {url} <!-- evidence: {sha[:9]} marker:"HACK: y" -->\n'})
+    assert run("check-workarounds", repo.path, "--strict")[0] == 0
+    code, out, _ = run("check-workarounds", repo.path, "--strict", "--json", "--check-upstream", lookup)
+    assert code == 1 and json.loads(out)["flagged"] == 1 and url in out
+    assert run("check-workarounds", repo.path, "--strict", "--check-upstream", "/nowhere/x")[0] == 0
+    assert "commit " + sha in run("evidence", repo.path, "--commits", sha[:8])[1]
