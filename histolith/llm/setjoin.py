@@ -11,8 +11,8 @@ prefix (larger ``l``) costs more announcements and gives far fewer candidates.
   of down to ``t n`` tokens when it probes, so its probe prefix needs ``o = ceil(t n)``; as the smaller one it needs
   ``o = ceil(2 t / (1 + t) n)``, a shorter prefix.
 * *Adaptive*: each probing set picks the ``l`` with the least expected work (announcements plus the sketched length
-  of the lists it meets). A set is indexed under every ``l`` that a partner may pick; sets over ``WIDE[l]`` members
-  never pick l, which bounds the combinations of large sets.
+  of the lists it meets). A set is indexed under the ``l`` that sets of a partner's size do pick; an l under which a set of that size would be
+  indexed more than ``MOST`` times is not picked (indexing all partners costs more than a longer prefix saves).
 * *Equal sets* are one class: only classes are joined, and membership is joined back at the end.
 """
 
@@ -28,12 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from histolith.session import forget, written
+from histolith.session import forget, spread, written
 
 #: Counters of the frequency sketch: a fixed size.
 SKETCH = 1 << 16
-#: Largest set that may pick l tokens a combination.
-WIDE = {1: 1 << 31, 2: 24, 3: 12}
+#: Tokens of a combination, and the most combinations of two tokens or more that a set is indexed under.
+LENGTHS, MOST = (1, 2, 3), 128
 
 
 def _least_common(n: int, m: int, num: int, den: int) -> int:
@@ -41,44 +41,71 @@ def _least_common(n: int, m: int, num: int, den: int) -> int:
     return -(-num * (n + m) // (num + den))
 
 
-def _announce(sketch: np.ndarray, num: int, den: int):
-    """A function of batches (cid, tokens) to batches (sig, l, cid, size, probe)."""
+def _picks(sketch: np.ndarray, num: int, den: int):
+    """A function of batches (cid, tokens) to their sets ``(cid, n, tokens rare first, l)``, l being what the set picks as it probes."""
+
+    def open_to(l: int, n: int) -> bool:
+        """Whether sets of n members may pick l; what holds for n holds for all smaller partners."""
+        return l == 1 or l <= n and math.comb(n - max(_least_common(n, n, num, den), l) + l, l) <= MOST
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], int]]:
+        tokens = batch.column("tokens")
+        sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+        hashes = pc.list_flatten(tokens).to_numpy()
+        ends = np.cumsum(sizes)
+        freq = sketch[(hashes & (SKETCH - 1))]
+        parent = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((hashes, freq, parent))
+        hashes, freq = hashes[order], freq[order]
+        for cid, n, lo in zip(batch.column("cid").to_pylist(), sizes.tolist(), (ends - sizes).tolist()):
+            f, o = freq[lo : lo + n].tolist(), -(-num * n // den)
+            best, pick = math.inf, 1
+            for l in LENGTHS:
+                if l > o or not open_to(l, n):
+                    continue
+                p = f[: n - o + l]
+                # list met under a combination: no longer than that of its rarest token, which is thinned
+                # by each further token about as its frequency says
+                work = sum(f_i * (math.comb(len(p) - i - 1, l - 1) if l > 1 else 1) / (4.0 ** (l - 1)) for i, f_i in enumerate(p)) + 3 * math.comb(len(p), l)
+                if work < best:
+                    best, pick = work, l
+            yield cid, n, hashes[lo : lo + n].tolist(), pick
 
-    def prefixes(n: int) -> tuple[int, int]:
-        return -(-num * n // den), _least_common(n, n, num, den)
+    return run
+
+
+def _picked(sets):
+    """Batches to the distinct (l, n) that their sets pick."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted({(l, n) for _, n, _, l in sets(batch)})
+            yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in pairs], pa.int32()), pa.array([n for _, n in pairs], pa.int32())], names=["l", "n"])
+
+    return run
+
+
+def _announce(sets, picked: dict[int, np.ndarray], num: int, den: int):
+    """A function of batches (cid, tokens) to batches (sig, l, cid, size, probe). ``picked``: sizes of sets that pick l, sorted."""
+
+    def wanted(l: int, n: int) -> bool:
+        """Whether a set that picks l may be a larger partner of one of n members."""
+        own = picked[l]
+        at = int(np.searchsorted(own, n))
+        return at < len(own) and num * int(own[at]) <= n * den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column("tokens")
-            sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
-            hashes = pc.list_flatten(tokens).to_numpy()
-            ends = np.cumsum(sizes)
-            freq = sketch[(hashes & (SKETCH - 1))]
-            parent = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((hashes, freq, parent))
-            hashes, freq = hashes[order], freq[order]
             sig: list[int] = []
             rows: list[tuple[int, int, int, bool]] = []
-            for cid, n, lo in zip(batch.column("cid").to_pylist(), sizes.tolist(), (ends - sizes).tolist()):
-                h, f = hashes[lo : lo + n].tolist(), freq[lo : lo + n].tolist()
-                o_probe, o_index = prefixes(n)
-                best, pick = math.inf, 1
-                for l, wide in WIDE.items():
-                    if n > wide or l > o_probe:
-                        continue
-                    p = f[: n - o_probe + l]
-                    # list met under a combination: no longer than that of its rarest token, which is thinned
-                    # by each further token about as its frequency says
-                    work = sum(f_i * (math.comb(len(p) - i - 1, l - 1) if l > 1 else 1) / (4.0 ** (l - 1)) for i, f_i in enumerate(p)) + 3 * math.comb(len(p), l)
-                    if work < best:
-                        best, pick = work, l
-                for l, wide in WIDE.items():
-                    if l == pick:
-                        for c in combinations(h[: n - o_probe + l], l):
-                            sig.append(hash((l, *c)))
-                            rows.append((l, cid, n, True))
+            for cid, n, h, pick in sets(batch):
+                o_probe, o_index = -(-num * n // den), _least_common(n, n, num, den)
+                for c in combinations(h[: n - o_probe + pick], pick):
+                    sig.append(hash((pick, *c)))
+                    rows.append((pick, cid, n, True))
+                for l in LENGTHS:
                     # a partner that picks l has l common members with this set, or is none
-                    if n <= wide and l <= n:
+                    if l <= n and wanted(l, n):
                         for c in combinations(h[: n - max(o_index, l) + l], l):
                             sig.append(hash((l, *c)))
                             rows.append((l, cid, n, False))
@@ -112,7 +139,12 @@ def similar_classes(classes: DataFrame, num: int, den: int) -> DataFrame:
     sketch = np.zeros(SKETCH, np.int64)
     for slot, n in counted.collect():  # SKETCH rows at most
         sketch[slot] = n
-    rows = written(classes.select("cid", "tokens").repartition(classes.rdd.getNumPartitions()).mapInArrow(_announce(sketch, num, den), "sig long, l int, cid long, size int, probe boolean"), "announced")
+    sets = _picks(sketch, num, den)
+    picked: dict[int, list[int]] = {l: [] for l in LENGTHS}
+    for r in classes.select("cid", "tokens").mapInArrow(_picked(sets), "l int, n int").distinct().orderBy("l", "n").collect():  # distinct sizes of sets
+        picked[r.l].append(r.n)
+    known = {l: np.array(n, np.int64) for l, n in picked.items()}
+    rows = written(spread(classes.select("cid", "tokens")).mapInArrow(_announce(sets, known, num, den), "sig long, l int, cid long, size int, probe boolean"), "announced")
     probe = rows.where("probe").select("sig", "l", F.col("cid").alias("a"), F.col("size").alias("n"))
     index = rows.where("NOT probe").select("sig", "l", F.col("cid").alias("b"), F.col("size").alias("m"))
     met = probe.join(index, ["sig", "l"]).where((F.col("m") * den >= F.col("n") * num) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))))
