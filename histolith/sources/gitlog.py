@@ -2,7 +2,7 @@
 
 ``spark.read.format("gitlog").option("repos", "name=/path;name2=/path2").option("table", "commits").load()``; tables: commits,
 changes, diff_lines, merges, worktree (tracked lines), files (tracked source files whole) and range_diff (option range =
-``base..head``; sha is the range). One repository is one partition. Fields are separated by control characters and paths come
+``base..head``; sha is the range). The log of a repository is read in partitions of ``SPAN`` commits, each streamed commit by commit. Fields are separated by control characters and paths come
 NUL-terminated, so neither a pipe in a name nor a non-ASCII path shifts anything. The repositories must be reachable from the
 executors; otherwise ``ingest`` them once to parquet and query that.
 """
@@ -13,6 +13,7 @@ import datetime
 import os
 import re
 import subprocess
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,6 +44,23 @@ def git(path: str, *args: str) -> str:
     return done.stdout.decode("utf-8", "replace")
 
 
+def blocks(path: str, *args: str) -> Iterator[str]:
+    """What git writes between record separators, one after the other; only one is held."""
+    command = ["git", "-c", "core.quotepath=off", "-c", "safe.directory=*", "-C", path, *args]
+    with tempfile.TemporaryFile() as errors, subprocess.Popen(command, stdout=subprocess.PIPE, stderr=errors) as run:
+        held: list[bytes] = []
+        while piece := run.stdout.read(1 << 20):
+            *whole, rest = piece.split(b"\x1e")
+            for w in whole:
+                yield b"".join([*held, w]).decode("utf-8", "replace")
+                held = []
+            held.append(rest)
+        yield b"".join(held).decode("utf-8", "replace")
+        if run.wait():
+            errors.seek(0)
+            raise GitError(f"git {' '.join(args)}: {errors.read().decode(errors='replace').strip()}")
+
+
 def ok(path: str, *args: str) -> bool:
     try:
         git(path, *args)
@@ -51,6 +69,8 @@ def ok(path: str, *args: str) -> bool:
         return False
 
 
+#: Commits of a partition.
+SPAN = 20_000
 #: Extensions of files whose imports are known.
 IMPORTING = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go")
 
@@ -79,8 +99,8 @@ def hunk_lines(patch: str) -> Iterator[tuple[str, int, str, str]]:
 
 
 class _Repo(InputPartition):
-    def __init__(self, name: str, path: str):
-        self.name, self.path = name, path
+    def __init__(self, name: str, path: str, skip: int = 0, last: bool = True):
+        self.name, self.path, self.skip, self.last = name, path, skip, last
 
 
 class GitReader(DataSourceReader):
@@ -92,23 +112,38 @@ class GitReader(DataSourceReader):
         self.repos = [(p.partition("=")[0], p.partition("=")[2]) if "=" in p else (p, p) for p in spec.split(";") if p]
 
     def partitions(self) -> list[_Repo]:
-        return [_Repo(*r) for r in self.repos]
+        if self.table not in ("commits", "changes", "diff_lines"):
+            return [_Repo(*r) for r in self.repos]
+        out = []
+        for name, path in self.repos:
+            merges = [] if self.table == "commits" else ["--no-merges"]
+            try:
+                n = int(git(path, "rev-list", "--count", *merges, *(self.window or ["HEAD"]), *self.spec[1:]))
+            except GitError:
+                n = 0
+            cuts = [*range(0, max(1, n), SPAN)]
+            out += [_Repo(name, path, c, c == cuts[-1]) for c in cuts]
+        return out
 
     def read(self, partition: _Repo) -> Iterator[tuple]:
+        self.at = partition
         for row in getattr(self, f"_{self.table}")(partition.path):
             yield (partition.name, *row)
 
-    def _log(self, path: str, *args: str) -> str:
-        return git(path, "log", *args, *self.window, *self.spec)
+    def _log(self, path: str, *args: str) -> Iterator[str]:
+        span = [f"--skip={self.at.skip}", *([] if self.at.last else [f"--max-count={SPAN}"])]
+        return blocks(path, "log", *span, *args, *self.window, *self.spec)
 
     def _commits(self, path: str) -> Iterator[tuple]:
-        text = self._log(path, "--date=short", "--pretty=format:%H%x1f%an%x1f%ad%x1f%P%x1f%s%x1f%b%x1e")
-        for n, block in enumerate(b for b in text.split("\x1e") if b.strip()):
+        log = self._log(path, "--date=short", "--pretty=format:%H%x1f%an%x1f%ad%x1f%P%x1f%s%x1f%b%x1e")
+        for n, block in enumerate((b for b in log if b.strip()), self.at.skip):
             sha, author, date, parents, subject, body = block.lstrip("\n").split("\x1f", 5)
             yield sha, n, author, datetime.date.fromisoformat(date), parents.split(), subject, body.strip() or None
 
     def _changes(self, path: str) -> Iterator[tuple]:
-        for block in self._log(path, "--no-merges", "-z", "--name-status", "--pretty=format:%x1e%H").split("\x1e")[1:]:
+        for block in self._log(path, "--no-merges", "-z", "--name-status", "--pretty=format:%x1e%H"):
+            if not block.strip():
+                continue
             sha, fields = block[:40], [x.strip("\n") for x in block[40:].split("\0")]
             fields, at, n = [x for x in fields if x], 0, 0
             while at + 1 < len(fields):
@@ -121,7 +156,7 @@ class GitReader(DataSourceReader):
                 at, n = at + 2 + two, n + 1
 
     def _diff_lines(self, path: str) -> Iterator[tuple]:
-        for block in self._log(path, "--no-merges", "-p", "--unified=0", "--no-color", "--pretty=format:%x1e%H").split("\x1e")[1:]:
+        for block in self._log(path, "--no-merges", "-p", "--unified=0", "--no-color", "--pretty=format:%x1e%H"):
             for row in hunk_lines(block[40:]):
                 yield block[:40], *row
 
@@ -138,9 +173,10 @@ class GitReader(DataSourceReader):
                     yield name, f.read()
 
     def _merges(self, path: str) -> Iterator[tuple]:
-        text = self._log(path, "--merges", "--date=short", "--pretty=format:%H%x1f%P%x1f%cd")
-        for line in text.splitlines():
-            sha, parents, date = line.split("\x1f")
+        for line in self._log(path, "--merges", "--date=short", "--pretty=format:%H%x1f%P%x1f%cd%x1e"):
+            if not line.strip():
+                continue
+            sha, parents, date = line.strip().split("\x1f")
             p = parents.split()
             base = git(path, "merge-base", p[0], p[1]).strip()
             for own in git(path, "rev-list", "--no-merges", f"{base}..{sha}", *(["--", self.spec[-1]] if self.spec else [])).split():

@@ -62,6 +62,24 @@ def test_tables_of_a_repository(spark, repo):
     assert {r.line for r in gitlog.read(spark, "worktree", own).where("path = 'src/b.sql'").collect()} == {"-- two", "x"}
 
 
+def test_a_log_in_several_partitions(spark, repo, monkeypatch):
+    for n in range(7):
+        repo.commit(f"c{n}", **{f"f{n}.txt": f"{n}\n" * (n + 1)})
+    own = {"r": repo.path}
+    rows = lambda t: sorted(map(tuple, gitlog.read(spark, t, own).collect()), key=str)
+    whole = {t: rows(t) for t in ("commits", "changes", "diff_lines")}
+    assert len(whole["commits"]) == len(whole["changes"]) == 7 and len(whole["diff_lines"]) == 28
+    reader = gitlog.GitReader({"path": repo.path, "table": "commits"})
+    assert len(reader.partitions()) == 1
+    monkeypatch.setattr(gitlog, "SPAN", 3)
+    assert [(p.skip, p.last) for p in reader.partitions()] == [(0, False), (3, False), (6, True)]
+    got = sorted((tuple(["r", *row[1:]]) for p in reader.partitions() for row in reader.read(p)), key=lambda r: r[2])
+    assert [r[1] for r in got] == [r[1] for r in sorted(whole["commits"], key=lambda r: r[2])] and [r[2] for r in got] == list(range(7))
+    for t in ("changes", "diff_lines"):
+        reader = gitlog.GitReader({"path": repo.path, "table": t})
+        assert sorted((("r", *row[1:]) for p in reader.partitions() for row in reader.read(p)), key=str) == whole[t]
+
+
 def test_merge_ranges_agree_with_git(spark, repo):
     repo.commit("init", a="0")
     for n in range(3):
