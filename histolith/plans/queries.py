@@ -62,7 +62,7 @@ def auto_caps(spark: SparkSession, d: str) -> DataFrame:
 def specific_keys(spark: SparkSession, d: str) -> DataFrame:
     h = read_history(spark, d)
     keys = K.change_keys(h.plain, h.changes)
-    return K.specific(keys, K.document_frequency(keys), K.caps(h.plain)).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+    return K.specific(keys, K.document_frequency(keys), K.caps(h.plain)).select("repo", "sha", "kind", "key")
 
 
 # coupling, pairs, components --------------------------------------------------------------------------
@@ -89,13 +89,12 @@ def coupling_suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """How many keys of each kind related commits share."""
+    """How many keys of each kind any two commits share."""
     h = read_history(spark, d)
     keys = K.change_keys(h.plain, h.changes)
     few = K.specific(keys, K.document_frequency(keys), K.caps(h.plain)).withColumnRenamed("sha", "ent")
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
-    pairs = affinity.shared_keys(few).groupBy("repo", "i", "j").agg(n("file"), n("dir"), n("token"))
-    return pairs.groupBy("repo").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(k).alias(k) for k in K.KINDS])
+    return affinity.shared_keys(few).groupBy("repo", "i", "j").agg(n("file"), n("dir"), n("token"))
 
 
 def _related(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +158,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 def diff_summary(spark: SparkSession, d: str) -> DataFrame:
     s = summaries.diff_summary(_members(spark, d), read_history(spark, d).changes)
-    return s.select("cluster", "summary", joined("added"), joined("deleted"), "modified_count", joined("modified_top"))
+    return s.select("cluster", "summary", joined("added"), joined("deleted"), "modified_count", joined("modified_top"), joined("renamed"))
 
 
 def cluster_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -301,10 +300,15 @@ def verdict_recovery(spark: SparkSession, d: str) -> DataFrame:
 
 
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Imports between the scripts of a tree laid out from parts: each brand's index imports its parts and the next brand's index."""
+    """Imports in a tree laid out from parts, of scripts, Python modules (absolute and relative) and Go packages."""
     p = table(spark, d, "part").select((F.col("p_partkey") % 97).alias("b"), F.col("p_partkey").alias("k"))
     leaf = p.select(F.format_string("src/b%d/p%d.ts", "b", "k").alias("path"), F.concat(F.lit("import { x } from '../b"), ((F.col("b") + 1) % 97).cast("string"), F.lit("/p"), (F.col("k") + 1).cast("string"), F.lit("';\nconst fs = require('fs')\n")).alias("text"))
-    return I.import_edges(leaf)
+    other = (F.col("b") + 1) % 97
+    away = F.concat(F.lit("import os\nfrom lib.b"), other.cast("string"), F.lit(".m"), (F.col("k") + 1).cast("string"), F.lit(" import x\n"))
+    near = F.concat(F.lit("from .m"), (F.col("k") + 97).cast("string"), F.lit(" import x\n"))
+    python = p.select(F.format_string("lib/b%d/m%d.py", "b", "k").alias("path"), F.when(F.col("k") % 2 == 0, away).otherwise(near).alias("text"))
+    go = p.select(F.format_string("go/b%d/g%d.go", "b", "k").alias("path"), F.format_string('package b\n\nimport (\n\t"fmt"\n\t"example.org/x/g%d"\n)\n', F.col("k") + 1).alias("text"))
+    return I.import_edges(leaf.unionByName(python).unionByName(go))
 
 
 def next_record_number(spark: SparkSession, d: str) -> DataFrame:

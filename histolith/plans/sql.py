@@ -126,12 +126,11 @@ HAVING count(*) >= 5 AND count(*) * 100 >= (SELECT count(DISTINCT sha) FROM x)""
         "dirs_deep": f"WITH {BASE}, {DIRS} SELECT sha, key AS dir FROM dd",
         "document_frequency": f"WITH {KEYS} SELECT * FROM df",
         "auto_caps": f"WITH {KEYS} SELECT * FROM cp",
-        "specific_keys": f"WITH {KEYS} SELECT repo, kind, count(*) AS n, count(DISTINCT key) AS keys FROM fe GROUP BY ALL",
+        "specific_keys": f"WITH {KEYS} SELECT repo, sha, kind, key FROM fe",
         "coupling_paths": f"WITH {BASE}, {COUPLED} SELECT repo, path_a, path_b, shared, round(score, 9) AS score FROM cc",
         "coupling_changeset_cap": f"WITH {BASE}, {_coupling(PLAIN_FILES, 4, 5, 0.0, V.COUPLING_DENY)} SELECT repo, path_a, path_b, shared, round(score, 9) AS score FROM cc",
         "coupling_suppliers": f"WITH li AS (SELECT 'orders' AS repo, l_orderkey AS sha, lpad(l_suppkey::VARCHAR, 9, '0') AS path FROM lineitem), {_coupling('li', 6, 5, 0.0, None)} SELECT repo, path_a, path_b, shared, round(score, 9) AS score FROM cc",
-        "candidate_pairs": f"""WITH {KEYS}, {SHARED}, pr AS (SELECT repo, i, j, count(*) FILTER (kind = 'file') AS file, count(*) FILTER (kind = 'dir') AS dir, count(*) FILTER (kind = 'token') AS token FROM sk GROUP BY ALL)
-SELECT repo, count(*) AS pairs, sum(file)::BIGINT AS file, sum(token)::BIGINT AS token, sum(dir)::BIGINT AS dir FROM pr GROUP BY repo""",
+        "candidate_pairs": f"""WITH {KEYS}, {SHARED} SELECT repo, i, j, count(*) FILTER (kind = 'file') AS file, count(*) FILTER (kind = 'dir') AS dir, count(*) FILTER (kind = 'token') AS token FROM sk GROUP BY ALL""",
         "pairs_two_of_four": f"WITH {KEYS}, {RELATED} SELECT * FROM re",
         "affinity_components": f"""WITH RECURSIVE {KEYS}, {RELATED}, ed AS MATERIALIZED (SELECT i AS s, j AS t FROM re UNION SELECT j, i FROM re),
 lb AS (SELECT s AS ent, s AS root FROM ed UNION SELECT ed.t, lb.root FROM lb JOIN ed ON ed.s = lb.ent WHERE ed.t > lb.root) SELECT ent, min(root) AS root FROM lb GROUP BY ent""",
@@ -146,8 +145,9 @@ SELECT overall, count(*) AS n FROM v GROUP BY overall""",
         "squash_chunks": f"""WITH {BASE} SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY log_pos, sha) AS chunk, 1::BIGINT AS pos, sha, CASE WHEN len(parents) > 0 THEN sha || '^' ELSE '{V.EMPTY_TREE}' END AS base, sha AS head FROM pl""",
         "log_numbering": f"WITH {BASE} SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY date NULLS LAST, sha) AS n FROM co",
         "diff_summary": f"""WITH {BASE}, {MEMBERS}, {CHANGED}, pp AS (SELECT repo, cluster, path, bool_or(left(status, 1) IN ('A', 'R', 'C')) AS new, bool_or(status LIKE 'D%') AS gone FROM mc GROUP BY ALL),
-s AS (SELECT cluster, coalesce(list_sort(list(path) FILTER (new)), []) AS a, coalesce(list_sort(list(path) FILTER (gone)), []) AS d, coalesce(list_sort(list(path) FILTER (NOT new AND NOT gone)), []) AS m FROM pp GROUP BY ALL)
-SELECT cluster, '+' || len(a) || ' added, -' || len(d) || ' deleted, ' || len(m) || ' modified' AS summary, {_capped('a', 8)} AS added, {_capped('d', 8)} AS deleted, len(m) AS modified_count, {_capped('m', 5)} AS modified_top FROM s""",
+s AS (SELECT cluster, coalesce(list_sort(list(path) FILTER (new)), []) AS a, coalesce(list_sort(list(path) FILTER (gone)), []) AS d, coalesce(list_sort(list(path) FILTER (NOT new AND NOT gone)), []) AS m FROM pp GROUP BY ALL),
+rn AS (SELECT cluster, array_to_string(list_sort(list(old_path || ' -> ' || path)), '|') AS renamed FROM mc WHERE left(status, 1) IN ('R', 'C') AND old_path <> '' GROUP BY ALL)
+SELECT cluster, '+' || len(a) || ' added, -' || len(d) || ' deleted, ' || len(m) || ' modified' AS summary, {_capped('a', 8)} AS added, {_capped('d', 8)} AS deleted, len(m) AS modified_count, {_capped('m', 5)} AS modified_top, renamed FROM s LEFT JOIN rn USING (cluster)""",
         "cluster_rollup": f"""WITH {BASE}, {TOKENS}, {MEMBERS}, {CHANGED},
 o AS (SELECT repo, cluster, string_agg(sha, '|' ORDER BY pos, sha) AS commits, string_agg(subject, '|' ORDER BY pos, sha) AS subjects FROM mb JOIN pl USING (sha, repo) GROUP BY ALL),
 f AS (SELECT repo, cluster, array_to_string(list_sort(list(DISTINCT path)), '|') AS files, array_to_string(coalesce(list_sort(list(DISTINCT split_part(path, '/', 1)) FILTER (contains(path, '/') AND split_part(path, '/', 1) <> '')), []), '|') AS top_dirs FROM mc GROUP BY ALL),
@@ -176,7 +176,10 @@ SELECT sha AS path, 'active' AS status, (th.mark IS NULL)::BIGINT AS findings FR
         "majority_vote": """WITH v AS (SELECT user_id AS id, event_type AS overall, count(*) AS votes, min(event_id) AS f FROM events WHERE event_type <> 'view' GROUP BY ALL),
 b AS (SELECT *, sum(votes) OVER (PARTITION BY id) AS cast_votes FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, f) = 1), a AS (SELECT user_id AS id, count(*) AS runs FROM events GROUP BY ALL)
 SELECT id, coalesce(overall, 'fail') AS overall, runs, coalesce(votes, 0) AS votes, round(coalesce(votes / cast_votes, 0), 9) AS agreement FROM a LEFT JOIN b USING (id)""",
-        "import_edges": """WITH p AS (SELECT DISTINCT p_partkey % 97 AS b, p_partkey AS k FROM part), f AS (SELECT 'src/b' || b || '/p' || k || '.ts' AS path, 'src/b' || (b + 1) % 97 || '/p' || (k + 1) || '.ts' AS t FROM p)
+        "import_edges": """WITH p AS (SELECT DISTINCT p_partkey % 97 AS b, p_partkey AS k FROM part),
+f AS (SELECT 'src/b' || b || '/p' || k || '.ts' AS path, 'src/b' || (b + 1) % 97 || '/p' || (k + 1) || '.ts' AS t FROM p
+ UNION ALL SELECT 'lib/b' || b || '/m' || k || '.py', CASE WHEN k % 2 = 0 THEN 'lib/b' || (b + 1) % 97 || '/m' || (k + 1) || '.py' ELSE 'lib/b' || b || '/m' || (k + 97) || '.py' END FROM p
+ UNION ALL SELECT 'go/b' || b || '/g' || k || '.go', 'go/b' || (k + 1) % 97 || '/g' || (k + 1) || '.go' FROM p)
 SELECT DISTINCT least(path, t) AS src, greatest(path, t) AS dst FROM f WHERE t IN (SELECT path FROM f)""",
         "next_record_number": rf"""WITH {BASE}, n AS (SELECT repo, regexp_extract(regexp_extract(path, '[^/]*$'), '^(\d{{4}})-.*\.md$', 1) AS n FROM ch) SELECT repo, coalesce(max(try_cast(n AS INT)), 0)::BIGINT + 1 AS next FROM n GROUP BY repo""",
         "overflow_lists": f"WITH {BASE}, s AS (SELECT sha, list_sort(list(DISTINCT path)) AS p FROM ch GROUP BY sha) SELECT sha, {_capped('p', 8)} AS files FROM s",
