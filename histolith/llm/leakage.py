@@ -431,7 +431,7 @@ def _search(items: Items, vocabulary: int, seed: int, common: np.ndarray = np.ze
     order = np.argsort(key, kind="stable")
     key, place = key[order], place[order]
     item_of = np.repeat(np.arange(len(names)), index.ends - index.begins)
-    mask = (1 << 22) - 1
+    mask = (1 << 24) - 1  # a key table of many times fewer entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.zeros(mask + 1, bool)
@@ -443,9 +443,10 @@ def _search(items: Items, vocabulary: int, seed: int, common: np.ndarray = np.ze
             words = pc.list_flatten(lists).to_numpy()
             ends = np.cumsum(sizes)
             begins = ends - sizes
+            of = np.repeat(np.arange(len(sizes)), sizes)  # the document of each word
             number = index.numbers(_runs(words, RUN))
             pos = np.flatnonzero(number >= 0)
-            pos = pos[pos + RUN <= ends[np.searchsorted(ends, pos, side="right")]] if len(pos) else pos
+            pos = pos[pos + RUN <= ends[of[pos]]]
             # items that each document may carry for all its runs say; the others need no windows
             may = np.zeros((len(sizes), len(names)), bool)
             cuts = np.searchsorted(pos, np.r_[begins, len(words)])
@@ -457,8 +458,7 @@ def _search(items: Items, vocabulary: int, seed: int, common: np.ndarray = np.ze
             unknown = np.r_[0, np.cumsum(words == 0)]
             start = np.arange(max(0, len(words) - WINDOW + 1))
             start = start[(seeds[start + WINDOW - RUN + 1] > seeds[start]) & (unknown[start + WINDOW] - unknown[start] <= NEAR)]
-            of = np.searchsorted(ends, start, side="right")
-            start = start[(start + WINDOW <= ends[of]) & may.any(axis=1)[of]] if len(start) else start
+            start = start[(start + WINDOW <= ends[of[start]]) & may.any(axis=1)[of[start]]]
             met: list[np.ndarray] = []
             with np.errstate(over="ignore"):
                 for lo in range(0, len(start), CHUNK):
@@ -466,15 +466,18 @@ def _search(items: Items, vocabulary: int, seed: int, common: np.ndarray = np.ze
                     near = []
                     for k in _keys(words, part, bits, symbols, samples):
                         hit = np.flatnonzero(present[k & mask])
-                        entry, of = _ranges(np.searchsorted(key, k[hit], "left"), np.searchsorted(key, k[hit], "right"))
-                        d, i = part[hit[of]], place[entry]
-                        ok = may[np.searchsorted(ends, d, "right"), item_of[i]]
+                        left = np.searchsorted(key, k[hit], "left")
+                        real = key[np.minimum(left, len(key) - 1)] == k[hit]
+                        hit, left = hit[real], left[real]
+                        entry, which = _ranges(left, np.searchsorted(key, k[hit], "right"))
+                        d, i = part[hit[which]], place[entry]
+                        ok = may[of[d], item_of[i]]
                         near.append(d[ok] * len(text) + i[ok])
                     near = np.unique(np.concatenate(near))
                     for at in range(0, len(near), CHUNK):
                         d, i = np.divmod(near[at : at + CHUNK], len(text))
                         good = window_distances(words[d[:, None] + reach], text[i[:, None] + reach]) <= NEAR
-                        met.append(np.unique(np.searchsorted(ends, d[good], "right") * len(names) + item_of[i[good]]))
+                        met.append(np.unique(of[d[good]] * len(names) + item_of[i[good]]))
             both = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
             doc, item = np.divmod(both, max(1, len(names)))
             # pairs are compared in groups of about CHUNK places of runs
