@@ -110,10 +110,10 @@ def words_of(text: str) -> list[str]:
     return _word_lists([text])[0]
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about BYTES of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BYTES)) + 1
+def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` by the sizes of its rows, so that long texts don't add up."""
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
@@ -173,7 +173,7 @@ def _encode(vocabulary: dict[str, int], sentences: dict, runs: np.ndarray):
             by_head[int(_runs(np.array(s[:RUN]), RUN)[0])].append(n)
         heads = np.array(sorted(by_head), np.uint64)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in _slices(batch, pc.binary_length(batch.column("text")), BYTES):
                 text, sizes = split_words(part.column("text"))
                 words = (pc.fill_null(pc.index_in(text, value_set=values), -1).to_numpy(zero_copy_only=False) + 1).astype(np.int32)
                 ends = np.cumsum(sizes)
@@ -437,7 +437,7 @@ def _search(items: Items, vocabulary: int, seed: int, common: np.ndarray = np.ze
         present = np.zeros(mask + 1, bool)
         present[key & mask] = True
         reach = np.arange(WINDOW)
-        for batch in batches:
+        for batch in (part for b in batches for part in _slices(b, pc.list_value_length(b.column("words")), BYTES // 4)):
             lists = batch.column("words")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             words = pc.list_flatten(lists).to_numpy()
