@@ -2,8 +2,8 @@
 
 The table lives in the shared folder as hash-bucketed parquet: pair counts, item counts and basket counts.
 A change set of baskets becomes *signed deltas* (minus the pairs of the old content, plus those of the
-new), is written once, reduced per key before and after one shuffle, and is merged into the buckets it touches; only
-these are read and rewritten, into new folders. Scores of a group change with its number of baskets, so after a merge those of the
+new), is written once, reduced per key before and after one shuffle, and is added to the buckets it touches as one more run. The runs of
+a bucket are merged when it is read, and rewritten as one when a change set touches a bucket of ``RUNS`` of them. Scores of a group change with its number of baskets, so after a merge those of the
 touched groups are recomputed and the others kept (``refreshed``). A version counts once its manifest is written, so a lost executor
 or a failed merge leaves the previous version in place; ``PairTable.open`` reads the last complete one.
 
@@ -29,6 +29,8 @@ SCORES = "grp string, item_a string, item_b string, n_ab long, n_a long, n_b lon
 SEED = 42
 #: Pairs of the first change set that make one bucket more, and files that a bucket is written to at most.
 PER_BUCKET, FILES = 1 << 26, 4
+#: Runs of a bucket before it is rewritten.
+RUNS = 4
 
 
 def _pairs(ids: Column) -> Column:
@@ -56,8 +58,8 @@ class PairTable:
     def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None, max_items: int | None = None):
         self.spark, self.buckets, self.path, self.max_items = spark, buckets, path or new_folder(spark, "pairs"), max_items
         self.version = 0
-        #: per table, the folder of each bucket's current rows
-        self.current: dict[str, dict[int, str]] = {k: {} for k in KEYS}
+        #: per table, the folders of each bucket's runs
+        self.current: dict[str, dict[int, list[str]]] = {k: {} for k in KEYS}
         #: items whose hash is salted, for another one has it: (group, item, salt)
         self.salted: list[tuple[str, str, int]] = []
         #: groups whose counts the last merge changed
@@ -94,44 +96,48 @@ class PairTable:
 
     # merge --------------------------------------------------------------------------------------------
 
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
-        folders = sorted({f for b, f in self.current[name].items() if buckets is None or b in buckets})
+    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame | None:
+        """Current rows, of some buckets only if they are given."""
+        own = {b: f for b, f in self.current[name].items() if buckets is None or b in buckets}
+        folders = sorted({f for runs in own.values() for f in runs})
         if not folders:
             return None
-        parts = []
-        for f in folders:
-            own = [b for b, x in self.current[name].items() if x == f and (buckets is None or b in buckets)]
-            parts.append(self.spark.read.schema(SCHEMAS[name]).option("basePath", f).parquet(f).where(F.col("bucket").isin(own)))
-        return reduce(DataFrame.unionByName, parts)
-
-    def _write(self, name: str, delta: DataFrame) -> dict[int, str]:
-        """New rows of the buckets that a delta touches: bucket to folder."""
-        folder = f"{self.path}/{name}/v{self.version}"
-        if self.current[name]:
+        part = lambda f: self.spark.read.schema(SCHEMAS[name]).option("basePath", f).parquet(f).where(F.col("bucket").isin([b for b, runs in own.items() if f in runs]))
+        rows = reduce(DataFrame.unionByName, map(part, folders))
+        return _total(rows, KEYS[name]) if any(len(runs) > 1 for runs in own.values()) else rows
+
+    def _add(self, name: str, delta: DataFrame) -> None:
+        """Add a run to the buckets that a delta touches; a bucket with many is rewritten as one."""
+        folder, first = f"{self.path}/{name}/v{self.version}", not self.current[name]
+        full = {b for b, runs in self.current[name].items() if len(runs) >= RUNS}
+        if full:
             delta = written(delta, "delta")
-            touched = [r.bucket for r in delta.select("bucket").distinct().collect()]  # numbers of buckets
-            kept = self.read(name, touched)
-            merged = delta if kept is None else _total(delta.unionByName(kept.select(delta.columns)), KEYS[name])
-        else:
-            touched, merged = list(range(self.buckets)), delta
+            full &= {r.bucket for r in delta.select("bucket").distinct().collect()}  # numbers of buckets
+            if full:
+                delta = _total(delta.unionByName(self.read(name, full).select(delta.columns)), KEYS[name])
         if self.buckets > 1:  # few files a bucket
-            merged = merged.repartition(F.col("bucket"), F.pmod(F.hash(*KEYS[name][1:]), F.lit(FILES)))
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        return dict.fromkeys(touched, folder)
+            delta = delta.repartition(F.col("bucket"), F.pmod(F.hash(*KEYS[name][1:]), F.lit(FILES)))
+        delta.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        if first:
+            touched = set(range(self.buckets))
+        else:
+            touched = full | {r.bucket for r in self.spark.read.schema(SCHEMAS[name]).parquet(folder).select("bucket").distinct().collect()}
+        for b in touched:
+            self.current[name][b] = [folder] if first or b in full else [*self.current[name].get(b, []), folder]
 
     def merge(self, new: DataFrame | None, old: DataFrame | None = None) -> None:
-        """Add the deltas of the baskets ``(grp, items)`` that came and went and make a new version of the buckets they touch."""
+        """Add the deltas of the baskets ``(grp, items)`` that came and went as a new version."""
         signed = written(reduce(DataFrame.unionByName, [self._signed(df, s) for df, s in ((new, 1), (old, -1)) if df is not None]), "signed")
         if self.buckets is None:
             most = signed.agg(F.sum(F.size("items").cast("long") * (F.size("items") - 1) / 2)).first()[0] or 0
             self.buckets = max(1, math.ceil(most / PER_BUCKET))
         self.version += 1
-        before = {k: dict(v) for k, v in self.current.items()}
+        before = self.current
         known = self.read("items")
         while True:
             deltas = self._deltas(signed)
             self.current = {k: dict(v) for k, v in before.items()}
-            self.current["items"] |= self._write("items", deltas["items"])
+            self._add("items", deltas["items"])
             items = self.read("items")
             twice = items.groupBy("id").count().where("count > 1").select("id")
             clash = twice.limit(1).count() and items.join(twice, "id").collect()  # two in 2^64 share a hash: a handful of rows at most
@@ -145,7 +151,7 @@ class PairTable:
                     salts[r.grp, r.item] = salts.get((r.grp, r.item), 0) + n
             self.salted = [(*k, s) for k, s in sorted(salts.items())]
         for name in ("pairs", "baskets"):
-            self.current[name] |= self._write(name, deltas[name])
+            self._add(name, deltas[name])
         self.touched = written(signed.select("grp").distinct(), "touched")
         forget(signed)
         state = json.dumps({"buckets": self.buckets, "max_items": self.max_items, "version": self.version, "current": self.current, "salted": self.salted})

@@ -143,6 +143,18 @@ def test_buckets_follow_from_the_size(rows, monkeypatch):
     assert t.buckets > 3 and scores(t) == counted(old)
 
 
+def test_many_merges(spark, rows):
+    """More merges than runs of a bucket, some of which take everything back."""
+    sets = [baskets(30, 20 + k) for k in range(8)]
+    t = count_pairs(rows(sets[0], BASKET), buckets=3)
+    for new, old in zip(sets[1:], sets):
+        t.merge(rows(new, BASKET), rows(old, BASKET))
+        assert scores(t) == counted(new)
+    assert max(len(runs) for runs in t.current["pairs"].values()) <= 4 and scores(PairTable.open(spark, t.path)) == counted(sets[-1])
+    t.merge(None, rows(sets[-1], BASKET))
+    assert scores(t) == {}
+
+
 def test_lift_and_no_baskets(rows):
     r = count_pairs(rows([("g", ["a", "b"], 0, "")] * 3 + [("g", ["c"], 0, "")] * 3, BASKET)).scores().first()
     assert (r.lift, round(r.npmi, 9)) == (2.0, 1.0)
