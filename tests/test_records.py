@@ -119,7 +119,7 @@ def test_verdict_from_prose(rows):
 
 def test_judge_is_injected(spark):
     said = iter(['{"overall": "pass"}', "?", '{"overall": "fail"}'])
-    assert votes.judge(spark, ["a"], "e", lambda p: next(said)) == {"overall": "pass", "runs": 3, "agreement": 0.5}
+    assert votes.judge(spark, ["a"], "e", lambda p: next(said)) == {"overall": "pass", "runs": 3, "agreement": 0.5, "options": []}
     assert votes.judge(spark, [], "e", None)["overall"] == "pass"
 
 
