@@ -157,6 +157,12 @@ class PairTable:
         state = json.dumps({"buckets": self.buckets, "max_items": self.max_items, "version": self.version, "current": self.current, "salted": self.salted})
         self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/v={self.version:09d}")
 
+    def snapshot(self) -> PairTable:
+        """The table as it is now, to read from after later merges."""
+        t = PairTable(self.spark, self.buckets, self.path, self.max_items)
+        t.version, t.salted, t.current = self.version, list(self.salted), {k: {b: list(f) for b, f in v.items()} for k, v in self.current.items()}
+        return t
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PairTable:
         """The last complete version of the table under ``path``."""
