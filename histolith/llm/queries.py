@@ -61,7 +61,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     late = known.where("late")
     t.merge(late.select("grp", "items"), late.where("first IS NOT NULL").select("grp", F.col("first").alias("items")))
     # groups that the second merge doesn't touch keep their first scores
-    same = known.select("grp").distinct().join(t.touched, "grp", "left_anti")
+    same = known.select(F.coalesce("grp", F.lit("")).alias("grp")).distinct().join(t.touched, "grp", "left_anti")
     scores = first.scores(min_joint=5, min_lift=3, affected=same).unionByName(t.scores(min_joint=5, min_lift=3, affected=t.touched))
     return scores.select(F.col("grp").alias("repo"), F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
 
